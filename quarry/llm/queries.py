@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import canonical_text, groups, set_join, term_counts
+from quarry.llm import canonical_text, groups, sentences, set_join, term_counts
 from quarry.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,18 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.publication_groups(table(spark, sf_dir, "works"))
 
 
+def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return sentences.sentences(documents, sentences.train(documents))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    sample = table(spark, sf_dir, "sentence_sample").select("doc_id").distinct()
+    found = sentences.sentences(documents.join(sample, "doc_id", "left_semi"), sentences.train(documents))
+    return found.select("doc_id", "start_pos", "end_pos").distinct()
+
+
 def queries() -> dict[str, Query]:
     found = {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
     return {name: found[name] for name in sorted(found, key=lambda n: (int(n[1:].split("_")[0]), not n.endswith("_found"), n))}
