@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import canonical_text, groups, sentences, set_join, term_counts
+from quarry.llm import canonical_text, groups, markup, sentences, set_join, term_counts
 from quarry.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,24 @@ def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.similar_links(_citing(spark, sf_dir), "work_id", "slugs", least=5, percent=60).withColumnRenamed("key", "work_id")
 
 
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, works = table(spark, sf_dir, "documents"), table(spark, sf_dir, "works")
+
+    def values(df: DataFrame, tab: str, key: str, field: str, host: str) -> DataFrame:
+        return df.select(F.lit(tab).alias("tab"), F.col(key).alias("key"), F.lit(field).alias("field"), F.expr(host).alias("host"), F.col(field).alias("value"))
+
+    texts = values(documents, "documents", "doc_id", "text", "coalesce(source, '')")
+    return texts.unionByName(values(documents, "documents", "doc_id", "title", "'document title'")).unionByName(values(works, "works", "work_id", "title", "'work title'"))
+
+
+def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.clean_markup(_marked(spark, sf_dir)).select("tab", F.col("key").alias("rec_id"), "field", "kinds", "clean", "blocks")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_clean(spark, sf_dir).select("tab", "rec_id", "field", F.explode("kinds").alias("markup")).distinct()
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.publication_groups(table(spark, sf_dir, "works"))
 
