@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import canonical_text, groups, markup, sentences, set_join, term_counts
+from quarry.llm import canonical_text, groups, markup, name_variants, sentences, set_join, term_counts
 from quarry.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,20 @@ def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.similar_links(_citing(spark, sf_dir), "work_id", "slugs", least=5, percent=60).withColumnRenamed("key", "work_id")
 
 
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    works = table(spark, sf_dir, "works").select(F.explode("authors").alias("name"))
+    records = table(spark, sf_dir, "inspire_record").select(F.explode("metadata.authors.full_name").alias("name"))
+    return works.unionByName(records)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_variants.name_pairs(_names(spark, sf_dir))
+
+
+def p5_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_variants.name_persons(_names(spark, sf_dir)).select("name", F.xxhash64("person").alias("person_id"))
+
+
 def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, works = table(spark, sf_dir, "documents"), table(spark, sf_dir, "works")
 
