@@ -130,10 +130,18 @@ def _persons(rows: list[tuple[str, tuple[str, ...], int, int, bool]]) -> list[tu
             weight[given[0]] += n
         firsts: list[str] = []
         name_of: dict[str, str] = {}
-        for first in sorted(weight, key=lambda f: (-weight[f], f)):
-            name_of[first] = next((f for f in firsts if N.same_part(f, first)), first)
-            if name_of[first] == first:
+        for first in sorted(weight, key=lambda f: (f in N.NICKNAMES, -weight[f], f)):
+            near = [f for f in name_of if N.same_part(f, first)]
+            head = min((name_of[f] for f in near), key=lambda f: (-weight[f], f), default=first)
+            if head == first:
                 firsts.append(first)
+            elif first not in N.NICKNAMES:  # slips of one name may be two edits apart; they meet through it
+                for f in near:
+                    if f in firsts and f != head and weight[f] <= 2:
+                        firsts.remove(f)
+                        for g in [g for g in name_of if name_of[g] == f]:
+                            name_of[g] = head
+            name_of[first] = head
         groups: dict[str, list] = defaultdict(list)
         for m in full:
             groups[name_of[m[1][0]]].append(m)
