@@ -47,7 +47,7 @@ def _parts(text: str) -> list[str]:
 def surname_key(words: list[str]) -> str:
     """Surname without particles, with the two spellings of umlauts made one."""
     joined = "-".join(w for w in words if w not in PARTICLES) or "-".join(words)
-    return re.sub(r"aa", "a", re.sub(r"([aou])e", r"\1", joined))
+    return re.sub(r"aa", "a", re.sub(r"(?<![aeiou])([aou])e", r"\1", joined))
 
 
 @lru_cache(maxsize=100_000)

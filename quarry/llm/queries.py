@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import canonical_text, groups, markup, name_variants, sentences, set_join, term_counts
+from quarry.llm import canonical_text, entity_match, groups, markup, name_variants, sentences, set_join, term_counts
 from quarry.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,17 @@ def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.similar_links(_citing(spark, sf_dir), "work_id", "slugs", least=5, percent=60).withColumnRenamed("key", "work_id")
 
 
+def p4_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = table(spark, sf_dir, "bib_entries").select(F.col("entry_id").alias("key"), F.col("slug").alias("scope"), "title", "authors", "year", "journal")
+    works = table(spark, sf_dir, "works").select(F.col("work_id").alias("key"), F.lit(None).cast("string").alias("scope"), "title", "authors", "year", "journal")
+    found = entity_match.match_records(entries, works)
+    return found.select(F.col("left_key").alias("entry_id"), F.col("right_key").alias("work_id"), "confidence")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_matches(spark, sf_dir).select("entry_id", "work_id")
+
+
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     works = table(spark, sf_dir, "works").select(F.explode("authors").alias("name"))
     records = table(spark, sf_dir, "inspire_record").select(F.explode("metadata.authors.full_name").alias("name"))
