@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import canonical_text, entity_match, groups, markup, name_variants, sentences, set_join, term_counts
-from quarry.runtime import table
+from quarry.llm import canonical_text, entity_match, groups, markup, mixing, name_variants, packing, sentences, set_join, term_counts, tokens
+from quarry.runtime import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -97,6 +97,34 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.publication_groups(table(spark, sf_dir, "works"))
 
 
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "source", "text")
+    return tokens.token_counts(documents)
+
+
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(_sizes(spark, sf_dir), table(spark, sf_dir, "pack_sizes"))
+    return packed.withColumnRenamed("key", "doc_id")
+
+
+def p8_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(p8_packed(spark, sf_dir), table(spark, sf_dir, "pack_sizes"))
+
+
+def _memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut(_sizes(spark, sf_dir).withColumn("sources", F.array_compact(F.array("source"))).select("key", "tokens", "sources"))
+
+
+def p9_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = mixing.mix(_memberships(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+    return chosen.withColumnRenamed("key", "doc_id")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes, targets = _memberships(spark, sf_dir), table(spark, sf_dir, "mix_targets")
+    return mixing.shares(mixing.mix(sizes, targets), sizes, targets)
+
+
 def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return sentences.sentences(documents, sentences.train(documents))
