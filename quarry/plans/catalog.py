@@ -1,9 +1,13 @@
 """All registered queries of the core and their SQL."""
 
+from __future__ import annotations
+
+from quarry.plans import reading, store
+
 
 def queries():
-    return {}
+    return reading.QUERIES | store.QUERIES
 
 
 def oracle_sql():
-    return {}
+    return reading.SQL | store.SQL
