@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators import address as A
-from quarry.operators import audit, render, search, tables, terms
+from quarry.operators import audit, etl, render, search, tables, terms
 from quarry.runtime import table
 
 PHRASE = "lattice calculation"
@@ -194,6 +194,12 @@ def document_blocks(s, d):
     return rows.select("doc_id", F.col("idx").cast(L).alias("idx"), kind.alias("kind"), line.alias("text")).filter("text <> ''")
 
 
+def tex_documents(s, d):
+    """Blocks of the documents that carry TeX, by the source parser."""
+    tex = table(s, d, "documents").filter(F.contains("text", F.lit("\\begin{")))
+    return etl.parse_sources(tex, "doc_id", "text").groupBy("doc_id", "kind").agg(F.count("*").alias("blocks"))
+
+
 def json_props(s, d):
     rows = table(s, d, "events").select("event_type", F.from_json("props", "k INT").alias("p"))
     return rows.groupBy("event_type").agg(F.count("p.k").alias("with_k"), F.sum("p.k").alias("sum_k"))
@@ -215,7 +221,7 @@ def scorer_topk(s, d):
     return scored.orderBy(F.desc("score"), "vec_id").limit(20)
 
 
-QUERIES = {f.__name__: f for f in (list_papers, chapters, labels, figures, block_words, phrase_search, pattern_search, phrase_backoff, heading_spans, scope_slice, ambiguous_anchors, neighbours, context_window, contents, word_cap, fresh_anchors, object_numbers, heading_numbers, chapter_sections, sentence_split, topic_terms, prefix_join, df_weights, coverage_topk, residue_counts, references, scoped_audit, ngram_weights, title_terms, variant_merge, subsumed_terms, pivot_word, alias_claims, render_chapters, paper_pages, substitute_citations, document_blocks, json_props, gate_violations, scorer_topk)}
+QUERIES = {f.__name__: f for f in (list_papers, chapters, labels, figures, block_words, phrase_search, pattern_search, phrase_backoff, heading_spans, scope_slice, ambiguous_anchors, neighbours, context_window, contents, word_cap, fresh_anchors, object_numbers, heading_numbers, chapter_sections, sentence_split, topic_terms, prefix_join, df_weights, coverage_topk, residue_counts, references, scoped_audit, ngram_weights, title_terms, variant_merge, subsumed_terms, pivot_word, alias_claims, render_chapters, paper_pages, substitute_citations, document_blocks, tex_documents, json_props, gate_violations, scorer_topk)}
 
 # --- SQL ---------------------------------------------------------------------------------------
 
