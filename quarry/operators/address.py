@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 
 LEVELS = range(1, 7)
-SCOPE = re.compile(r"^(?P<slug>[^/#\s]+)(?:/(?P<stem>[^/#\s]+))?(?:#(?P<start>[^#\s.]+(?:\.[^#\s.]+)*))?(?:\.\.(?:#?(?P<end>[^#\s]+)))?$")
+SCOPE = re.compile(r"^(?P<slug>[^/#\s.]+(?:\.[^/#\s.]+)*)(?:/(?P<stem>[^/#\s.]+(?:\.[^/#\s.]+)*))?(?:#(?P<start>[^#\s.]+(?:\.[^#\s.]+)*))?(?:\.\.(?:#?(?P<end>[^#\s]+)))?$")
 
 
 @dataclass(frozen=True)
