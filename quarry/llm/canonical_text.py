@@ -147,8 +147,10 @@ def canonical_values(values: DataFrame) -> DataFrame:
     """Add ``canonical`` to a table with a string column ``value``, keeping all other columns.
 
     Values of plain ASCII are stable and never leave the JVM; the rest goes through Python in
-    Arrow batches.  Nulls stay null, empty values empty; repeated rows stay repeated.
+    Arrow batches.  Nulls stay null, empty values empty; repeated rows stay repeated.  A column
+    that was named ``canonical`` before is replaced.
     """
+    values = values.drop("canonical")
     stable = F.col("value").isNull() | F.col("value").rlike(r"^[\n -~]*$")
     schema = values.schema.simpleString()[len("struct<"):-1] + ",canonical:string"
     fixed = values.filter(~stable).mapInPandas(_changed, schema)

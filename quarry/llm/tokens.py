@@ -34,8 +34,10 @@ def encoding(path: str = TOKENIZER):
 def token_counts(df: DataFrame, text: str = "text", path: str = TOKENIZER) -> DataFrame:
     """Replace the column ``text`` by ``tokens``, its length in tokens; null and empty texts have 0.
 
-    Strings that look like special tokens are ordinary text.
+    Strings that look like special tokens are ordinary text.  A column that was named ``tokens``
+    before is replaced; all others are kept.
     """
+    df = df.drop("tokens") if text != "tokens" else df
     rest = [c for c in df.columns if c != text]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
