@@ -62,9 +62,10 @@ def components(edges: DataFrame, forest_edges: int = FOREST_EDGES) -> DataFrame:
     """Group of every node of ``edges`` (a, b: BIGINT): (node, group_id), the smallest node as group_id.
 
     Every partition reduces its edges to a spanning forest; forests are merged ``FAN_IN`` at a time
-    while a merged one is sure to fit a task (``forest_edges``).  If they no longer fit, rounds of
-    star contraction go on in bounded partitions, keyed by child and by parent in turn, until no
-    node has two parents or is both: exact for any number of edges.  Ties to a null node and loops
+    while a merged one is sure to fit a task (``forest_edges``).  If they no longer fit, rounds in
+    bounded partitions go on: union-find over the edges of each child, then every edge is led past its
+    parent to the parent above, until no child has two parents and no parent is a child: exact
+    for any number of edges.  Ties to a null node and loops
     tie nothing; repeated edges are harmless.  No step holds all edges in the driver.
     """
     schema = "a long, b long"
@@ -77,16 +78,19 @@ def components(edges: DataFrame, forest_edges: int = FOREST_EDGES) -> DataFrame:
         held = forest.count()
         if parts == -(-held // forest_edges):
             break
-    by_child = True
-    while forest.rdd.getNumPartitions() > 1:
+    done = forest.rdd.getNumPartitions() <= 1 and held < FOREST_EDGES
+    while not done:
         if held <= forest_edges:
             forest = cut(forest.coalesce(1).mapInPandas(_forest, schema))
             break
-        forest = cut(forest.repartition(max(tasks(edges.sparkSession), -(-2 * held // forest_edges)), "a" if by_child else "b").mapInPandas(_forest, schema))
-        held, by_child = forest.count(), not by_child
-        twice = forest.groupBy("a").agg(F.count_distinct("b").alias("n")).filter("n > 1")
-        if twice.isEmpty() and forest.join(forest.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
+        parts = max(tasks(edges.sparkSession), -(-2 * held // forest_edges))
+        forest = cut(forest.repartition(parts, "a").mapInPandas(_forest, schema))
+        above = cut(forest.groupBy("a").agg(F.min("b").alias("up"), F.max("b").alias("other")))
+        jumped = forest.join(above.select(F.col("a").alias("b"), "up"), "b", "left")
+        if jumped.filter("up is not null").isEmpty() and above.filter("up <> other").isEmpty():
             break
+        forest = cut(jumped.select("a", F.coalesce("up", "b").alias("b")).filter("a <> b").distinct())
+        held = forest.count()
     stars = forest.distinct()
     return stars.select(F.col("a").alias("node"), F.col("b").alias("group_id")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("group_id"))).distinct()
 
