@@ -28,10 +28,12 @@ CJK_END = re.compile(r"[。！？｡…!?]+[」』）］｝〉》】”’\"*_`~
 DIGITS = re.compile(r"[0-9०-९๐-๙٠-٩]+")
 TAIL = re.compile(rf"([{re.escape(END)}]+)([{re.escape(CLOSE)}]*)$")
 
-#: Distinct signs and contexts kept in a model: those that reach this share of the whole count.
+#: Distinct words and whole contexts kept in a model: those that reach this share of the whole count.
 VOCABULARY = 50_000
 CONTEXTS = 200_000
 ROUNDS = 6
+#: Stands for any previous word; with a shape behind it, for any word of that shape.
+ANY = "\x02"
 #: How much less likely a sentence of one or two tokens is than a longer one.
 SHORT = {1: 0.02, 2: 0.3}
 
@@ -63,6 +65,11 @@ def _shape(word: str) -> str:
     return f"\x01{kind}{'9' if kind != '9' and any(map(str.isdigit, word)) else ''}"
 
 
+def _class(word: str) -> str:
+    """All words of a word's shape, kept or not."""
+    return ANY + (word if word[:1] == "\x01" else _shape(word))
+
+
 def _inside(text: str) -> list[tuple[int, int]]:
     """Spans within matched brackets and quotation marks, outermost only."""
     stack: list[tuple[str, int]] = []
@@ -196,6 +203,36 @@ def _known(kept: frozenset[str]):
     return run
 
 
+def _events(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Contexts too rare to be kept whole, once as events without the next word and once as next words without the previous one."""
+    for batch in batches:
+        event, word = batch.copy(), batch[batch["seen"] == ""].copy()
+        event["following"] = [_class(f) if not s else f for s, f in zip(event["seen"], event["following"])]
+        event["seen"] = [s or "event" for s in event["seen"]]
+        word["seen"], word["previous"] = "word", ANY
+        yield pd.concat([event, word])
+
+
+def _lowest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Events without their previous word, next words after the shape of the current one."""
+    for batch in batches:
+        batch["previous"] = ANY
+        batch["current"] = [_class(c) if s == "word" else c for s, c in zip(batch["seen"], batch["current"])]
+        yield batch
+
+
+def _with_classes(event: dict[tuple, tuple[float, float]], *words: dict[str, float]) -> None:
+    """Add the sums of all words of a shape, which rows backed off to shapes look up."""
+    for counts in words:
+        for word, n in list(counts.items()):
+            counts[_class(word)] = counts.get(_class(word), 0.0) + n
+    for (order, *key), (b, n) in list(event.items()):
+        if order == "c":
+            shaped = ("c", _class(key[0]), key[1])
+            x, y = event.get(shaped, (0.0, 0.0))
+            event[shaped] = (x + b, y + n)
+
+
 @dataclass
 class Model:
     """Event probabilities by context and word probabilities after a boundary and after none."""
@@ -226,28 +263,39 @@ class Model:
         return p * after, (1 - p) * free
 
 
+def _keys(previous: str, current: str, signs: str) -> tuple[tuple, ...]:
+    """The events of a context, lowest order first."""
+    low = ("s", signs), ("c", current, signs)
+    return low if previous == ANY else (*low, ("p", previous, current, signs))
+
+
 def fit(rows: list[tuple[str, str, str, str, str, int]], kept: frozenset[str]) -> Model:
-    """Expectation-maximisation from paragraph edges, the only boundaries that are seen."""
+    """Expectation-maximisation from paragraph edges, the only boundaries that are seen.
+
+    Rows seen as ``event`` count for boundaries only and rows seen as ``word`` for next words only.
+    """
     model = Model(kept)
+    backed = any(r[0] in ("event", "word") for r in rows)
     starts: Counter[str] = Counter()
     words: Counter[str] = Counter()
     ends: Counter[tuple] = Counter()
     totals: Counter[tuple] = Counter()
     for seen, previous, current, signs, following, n in rows:
-        keys = (("s", signs), ("c", current, signs), ("p", previous, current, signs))
         if seen == "start":
             starts[following] += n
-        else:
-            for key in keys:
-                totals[key] += n
-                if seen == "end":
-                    ends[key] += n
-            if not seen:
-                words[following] += n
+            continue
+        for key in _keys(previous, current, signs) if seen != "word" else ():
+            totals[key] += n
+            if seen == "end":
+                ends[key] += n
+        if seen in ("", "word"):
+            words[following] += n
     model.start, model.inner = dict(starts), {w: max(n - 4.0 * starts[w], 0.0) for w, n in words.items()}
     model.total = (sum(model.start.values()) or 1.0, sum(model.inner.values()) or 1.0)
     model.event = {k: (min(n, 4.0 * ends[k]), n - min(n, 4.0 * ends[k])) for k, n in totals.items()}
     for _ in range(ROUNDS):
+        if backed:
+            _with_classes(model.event, model.start, model.inner)
         event: dict[tuple, list[float]] = {}
         start: Counter = Counter(starts)
         inner: Counter = Counter()
@@ -259,9 +307,10 @@ def fit(rows: list[tuple[str, str, str, str, str, int]], kept: frozenset[str]) -
             else:
                 b, w = model.odds(previous, current, signs, following)
                 share = b / (b + w)
+            if seen in ("", "word"):
                 start[following] += n * share
                 inner[following] += n * (1 - share)
-            for key in (("s", signs), ("c", current, signs), ("p", previous, current, signs)):
+            for key in _keys(previous, current, signs) if seen != "word" else ():
                 e = event.setdefault(key, [0.0, 0.0])
                 e[0] += n * share
                 e[1] += n * (1 - share)
@@ -306,10 +355,13 @@ def split(model: Model, text: str | None) -> list[tuple[int, int]]:
 
 
 def train(documents: DataFrame, text: str = "text") -> Model:
-    """Count the contexts of all texts, keep the frequent ones and fit the model.
+    """Count the contexts of all texts, back the rare ones off and fit the model.
 
-    Words and contexts must reach 1 / ``VOCABULARY`` and 1 / ``CONTEXTS`` of their total count, so
-    at most that many reach the driver and the model has a size bound whatever the input.
+    Words and whole contexts must reach 1 / ``VOCABULARY`` and 1 / ``CONTEXTS`` of their total count.
+    No count is dropped: a rarer word counts as its shape; a rarer context counts as (previous,
+    current, signs, shape of the next word) for boundaries and as (current, signs, next word) for
+    words, and below the limit again as (current, signs, shape) and (shape, signs, next word).  So
+    the rows that reach the driver are bounded by kept words, signs and shapes, whatever the input.
     """
     texts = spread(documents.select(F.col(text).alias("text")).filter("text is not null and text <> ''"))
     schema = "seen string, previous string, current string, signs string, following string, n long"
@@ -322,8 +374,14 @@ def train(documents: DataFrame, text: str = "text") -> Model:
     kept = frozenset(r["w"] for r in kept.select("w").collect())
     coded = raw.mapInPandas(_known(kept), schema).groupBy(*keys).agg(F.sum("n").alias("n"))
     total = raw.agg(F.sum("n")).first()[0] or 0
-    rows = coded.filter(F.col("n") >= max(1, total // CONTEXTS)).collect()
-    return fit(sorted(tuple(r) for r in rows), kept)
+    limit = max(1, total // CONTEXTS)
+    if limit > 1:
+        coded = cut(coded)
+        whole = (F.col("n") >= limit) | (F.col("seen") == "start")
+        lower = cut(coded.filter(~whole).mapInPandas(_events, schema).groupBy(*keys).agg(F.sum("n").alias("n")))
+        lowest = lower.filter(F.col("n") < limit).mapInPandas(_lowest, schema).groupBy(*keys).agg(F.sum("n").alias("n"))
+        coded = coded.filter(whole).unionByName(lower.filter(F.col("n") >= limit)).unionByName(lowest)
+    return fit(sorted(tuple(r) for r in coded.collect()), kept)
 
 
 def sentences(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

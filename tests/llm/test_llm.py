@@ -324,6 +324,23 @@ def test_rules_that_always_hold(model):
     assert [b - a for a, b in S.split(model, "該当なし。「ずれはない。」")] in ([5, 8], [13])
 
 
+def test_rare_contexts_are_backed_off(spark, monkeypatch):
+    words = [a + b + "o" for a in "bcdfghkl" for b in "aeiou"]
+    pairs = [(words[i % 40], words[(7 * i + i // 40) % 40]) for i in range(200)]
+    texts = [f"We see {p} approx. {q} here.\n\nThe {p} is {q}. The {q} is {p}." for p, q in pairs]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    whole = S.train(df)
+    monkeypatch.setattr(S, "CONTEXTS", 20)
+    model = S.train(df)
+    assert {"approx", *words} <= model.kept
+    assert sum(model.event[("c", "approx", ".")]) == pytest.approx(200)
+    for key in [k for k in whole.event if k[0] in "sc"]:
+        assert sum(model.event[key]) == pytest.approx(sum(whole.event[key]))
+    for word in {**whole.start, **whole.inner}:
+        assert model.start.get(word, 0) + model.inner.get(word, 0) == pytest.approx(whole.start.get(word, 0) + whole.inner.get(word, 0))
+    assert [S.split(model, t) for t in texts] == [S.split(whole, t) for t in texts]
+
+
 def test_sentence_rows(spark, model):
     rows = [(1, "A. B", "x"), (1, "A. B", "x"), (2, None, "x"), (3, "word " * 30000, "x")]
     got = S.sentences(spark.createDataFrame(rows, "doc_id long, text string, sentence string"), model).collect()
