@@ -122,6 +122,17 @@ def test_records_match_across_noise(spark):
     assert entity_match.match_records(left.limit(0), right).count() == 0
 
 
+def test_slips_at_both_ends_of_a_title_match(spark):
+    title = "Measurement of the inelastic form factor of heavy axions in dense matter"
+    left = records(spark, [
+        (1, "a", "Measurment of the inelastic form factor of heavy axions in dense mater", None, 2001, None, 0.0),
+        (2, "b", "Measurment of the inelastic form factor of heavy ...", None, 2001, None, 0.0),
+        (3, "c", "Measurment of the inelastic form factor of heavy axions in dense mater", ["Steprestomart, E."], 2001, None, 0.0),
+    ])
+    right = records(spark, [(10, None, title, ["Steprestomard, E."], 2001, "Phys. Rev. D 12 (2001) 345", 0.0)])
+    assert {(r.left_key, r.right_key) for r in entity_match.match_records(left, right).collect()} == {(1, 10), (2, 10), (3, 10)}
+
+
 def test_the_assignment_is_the_best(spark):
     rng = random.Random(3)
     for _ in range(60):
