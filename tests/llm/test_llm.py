@@ -133,6 +133,17 @@ def test_slips_at_both_ends_of_a_title_match(spark):
     assert {(r.left_key, r.right_key) for r in entity_match.match_records(left, right).collect()} == {(1, 10), (2, 10), (3, 10)}
 
 
+def test_a_hot_work_meets_all_of_its_entries(spark):
+    title, place = "Scalar attenuation of hyperons in dense matter", "Acta Hadr. 12 (1984) 345"
+    same = [(i, f"p{i}", title, ["Nemonarsen, D."], 1984, place, 0.0) for i in range(60)]
+    forms = [(100 + i, f"p{100 + i}", title, ["Nemonarsen, D.", f"{'bcdfghklmn'[i % 10]}{'aeiou'[i // 10]}rkelsen, A."], 1984, place, 0.0) for i in range(40)]
+    pair = [(200, "q", title, ["Nemonarsen, D."], 1984, place, 0.0), (201, "q", title, ["Nemonarsen, D."], 1984, place, 0.0)]
+    right = records(spark, [(k, None, title, ["Nemonarsen, D."], 1984, place, 0.0) for k in (5, 7, 9)])
+    got = {r.left_key: r.right_key for r in entity_match.match_records(records(spark, same + forms + pair), right).collect()}
+    assert {k: v for k, v in got.items() if k < 200} == {r[0]: 5 for r in same + forms}
+    assert {got[200], got[201]} == {5, 7}
+
+
 def test_the_assignment_is_the_best(spark):
     rng = random.Random(3)
     for _ in range(60):
