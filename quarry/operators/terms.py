@@ -80,7 +80,9 @@ def pivot(texts: DataFrame, topic: list[str]) -> DataFrame:
 def aliases(texts: DataFrame, name: str) -> DataFrame:
     """(alias, cue, claims): names that units (text) put beside ``name`` with a cue or in short brackets."""
     low = F.lower(T.collapse("text"))
-    near = rf"{name}s? (?:\(([a-z][a-z -]{{2,30}})\)|,? ?({'|'.join(c.replace('.', r'[.]') for c in CUES)}),? (?:an? |the )?((?:[a-z-]+ ?){{1,2}}))"
-    hits = texts.select(low.alias("t")).filter(F.contains("t", F.lit(name))).select(F.regexp_extract("t", near, 1).alias("b"), F.regexp_extract("t", near, 2).alias("cue"), F.regexp_extract("t", near, 3).alias("a"))
+    near = rf"{name}s?(?: \(([a-z][a-z -]{{2,30}})\)|(?: ?, ?| )({'|'.join(c.replace('.', r'[.]') for c in CUES)}),? (?:an? |the )?((?:[a-z-]+ ?){{1,2}}))"
+    claims = F.explode(F.regexp_extract_all(low, F.lit(f"(?=({near}))"), 1))  # a claim may begin within another's alias
+    hits = texts.filter(F.contains(low, F.lit(name))).select(claims.alias("t"))
+    hits = hits.select(F.regexp_extract("t", near, 1).alias("b"), F.regexp_extract("t", near, 2).alias("cue"), F.regexp_extract("t", near, 3).alias("a"))
     rows = hits.select(F.trim(F.when(F.col("b") != "", F.col("b")).otherwise(F.col("a"))).alias("alias"), F.when(F.col("b") != "", F.lit("()")).otherwise(F.col("cue")).alias("cue"))
     return rows.filter("alias <> ''").groupBy("alias", "cue").agg(F.count("*").alias("claims"))

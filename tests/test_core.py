@@ -181,3 +181,9 @@ def test_entry_has_rows(spark, data):
 
     assert catalog.queries()["phrase_search"](spark, data).count() >= 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_every_alias_claim_of_a_unit_counts(spark):
+    texts = spark.createDataFrame([("The model (flux tube) is old. A model, also called the string model (lund), and the model (flux tube).",), ("No claim.",)], "text string")
+    got = {(r.alias, r.cue): r.claims for r in terms.aliases(texts, "model").collect()}
+    assert got == {("flux tube", "()"): 2, ("string model", "also called"): 1, ("lund", "()"): 1}
