@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterable
 from functools import reduce
@@ -33,13 +34,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
 
-    The folder is the session's ``spark.checkpoint.dir``; a local one is made only where none is
-    set, as in tests.  Reliable checkpoints survive the loss of an executor.
+    The folder is the session's ``spark.checkpoint.dir``.  Only a local session, as in tests, gets a
+    folder of its own where none is set; on a cluster that would lie on one machine, so it is an error.
+    Reliable checkpoints survive the loss of an executor.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quarry-checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quarry-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
@@ -48,13 +52,20 @@ def tasks(spark: SparkSession) -> int:
     return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a table's size; nothing is run for it."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Redistribute a table that has fewer input splits than the cluster can use.
 
-    A table with enough splits is left where it is, so large inputs are not shuffled for this.
+    The splits are reckoned from the planned size and the session's split size, so no job is run to
+    count them; a table with enough splits is left where it is and never shuffled for this.
     """
     spark = df.sparkSession
-    if df.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism:
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    if planned_bytes(df) // split >= 2 * spark.sparkContext.defaultParallelism:
         return df
     return df.repartition(tasks(spark), *keys)
 
@@ -66,6 +77,3 @@ def all_of(conditions: Iterable[Column]) -> Column:
 def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
-
-def text_or_empty(name: str | Column) -> Column:
-    return F.coalesce(F.col(name) if isinstance(name, str) else name, F.lit(""))
