@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.runtime import cut, spread, tasks
+from quarry.runtime import all_of, cut, spread, tasks
 
 TERM = regex.compile(r"\p{L}{3,}")
 #: Identifiers per count array: two arrays of 64-bit counts, half a megabyte each.
@@ -19,24 +19,31 @@ RANGE_WIDTH = 65_536
 BLOCK_TERMS = 200_000
 #: Hash buckets that the dictionary is numbered in; the offsets table has one row for each.
 BUCKETS = 4_096
+#: Repeated keys that are broadcast, some ten MB; where there are more, all rows are grouped instead.
+REPEATED = 100_000
 
 
 def _block_counts(columns: Sequence[str]):
-    """Count arrays of blocks: local identifiers, then ``bincount`` for places and for records."""
+    """Count arrays of blocks: local identifiers, then ``bincount`` for places and for records.
+
+    The empty term, which no text holds, carries the number of records that are not empty.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         local: dict[str, int] = {}
         places = np.zeros(0, np.int64)
         records = np.zeros(0, np.int64)
+        filled = 0
 
         def emit() -> pd.DataFrame:
-            return pd.DataFrame({"term": list(local), "places": places[: len(local)], "records": records[: len(local)]})
+            return pd.DataFrame({"term": [*local, ""], "places": [*places[: len(local)], 0], "records": [*records[: len(local)], filled]})
 
         for batch in batches:
             ids: list[int] = []
             owners: list[int] = []
             for owner, values in enumerate(zip(*(batch[c] for c in columns))):
                 before = len(ids)
+                filled += any(values)
                 for value in values:
                     if value:
                         ids.extend([local.setdefault(t, len(local)) for t in TERM.findall(value.lower())])
@@ -53,9 +60,8 @@ def _block_counts(columns: Sequence[str]):
                 records[: len(counted)] += counted
             if len(local) >= BLOCK_TERMS:
                 yield emit()
-                local, places, records = {}, np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if local:
-            yield emit()
+                local, places, records, filled = {}, np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        yield emit()
 
     return run
 
@@ -91,6 +97,26 @@ def term_dictionary(terms: DataFrame) -> DataFrame:
     return numbered.join(F.broadcast(offsets), "bucket").select("term", (F.col("offset") + F.col("at")).cast("long").alias("term_id"))
 
 
+def distinct_records(df: DataFrame, keys: Sequence[str], texts: Sequence[str]) -> DataFrame:
+    """The text tuples of the records of ``df``: rows of equal ``keys`` (nulls equal) are one, with the smallest tuple.
+
+    Keys alone are grouped first, so texts are shuffled only where a key is repeated.  The repeated
+    keys are broadcast while there are at most ``REPEATED`` of them; beyond, all rows are grouped.
+    """
+    named = df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], *[F.col(t).alias(f"t{i}") for i, t in enumerate(texts)])
+    own, said = [f"k{i}" for i in range(len(keys))], [f"t{i}" for i in range(len(texts))]
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*own).agg(F.min(F.struct(*said)).alias("record")).select("record.*")
+
+    repeated = cut(named.groupBy(*own).agg(F.count("*").alias("n")).filter("n > 1").select(*[F.col(k).alias("r" + k) for k in own]))
+    if repeated.count() > REPEATED:
+        return spread(grouped(named))
+    same = all_of(F.col(k).eqNullSafe(F.col("r" + k)) for k in own)
+    once = spread(named.join(F.broadcast(repeated), same, "left_anti").select(*said))
+    return once.unionByName(grouped(named.join(F.broadcast(repeated), same, "left_semi")))
+
+
 def term_counts(df: DataFrame, keys: Sequence[str], texts: Sequence[str], rare_below: int = 3, common_above: float = 0.10) -> DataFrame:
     """Count every term of ``texts`` over all records: (term_id, term, places, records, mark).
 
@@ -106,12 +132,10 @@ def term_counts(df: DataFrame, keys: Sequence[str], texts: Sequence[str], rare_b
     Counting is local to blocks of input first, so a term or record group that fills a third of
     the rows reaches the shuffle as one row for each block.
     """
-    record = df.select(*keys, F.struct(*[F.col(t).alias(f"t{i}") for i, t in enumerate(texts)]).alias("record"))
-    record = record.groupBy(*keys).agg(F.min("record").alias("record")).select("record.*")
-    names = record.columns
-    filled = record.filter(" OR ".join(f"coalesce({n}, '') <> ''" for n in names))
-    blocks = cut(spread(filled).mapInPandas(_block_counts(names), "term string, places long, records long"))
-    total = filled.count()
+    names = [f"t{i}" for i in range(len(texts))]
+    counted = cut(distinct_records(df, keys, texts).mapInPandas(_block_counts(names), "term string, places long, records long"))
+    total = counted.filter("term = ''").agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    blocks = counted.filter("term <> ''")
     dictionary = cut(term_dictionary(blocks))
     coded = blocks.join(dictionary, "term").select("term_id", "places", "records")
     coded = coded.repartition(tasks(df.sparkSession), (F.col("term_id") / RANGE_WIDTH).cast("long"))
