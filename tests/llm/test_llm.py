@@ -216,6 +216,43 @@ def test_tree_matching_keeps_order():
     assert markup.align(tree("a", "b", "c"), tree("a", "c"))[0] == 3 and markup.align(tree("a", "b"), tree("b", "a"))[0] == 2
 
 
+def test_only_what_is_equal_letter_by_letter_is_template(spark):
+    page = "<html><body><p>Measured value was {0} units in run {1}.</p><p>{2}</p><p>All rights reserved</p></body></html>"
+    rows = [(i, "h", page.format(i, 7 * i, "word " * 60 + f"last words {i}")) for i in range(8)]
+    got = {r.key: r for r in markup.clean_markup(spark.createDataFrame(rows, "key int, host string, value string")).collect()}
+    for i in range(8):
+        assert f"Measured value was {i} units in run {7 * i}." in got[i].clean and f"last words {i}" in got[i].clean and "rights" not in got[i].clean
+    assert len(got) == 8
+
+
+def test_a_constant_in_the_middle_and_of_late_pages_is_found(spark):
+    start = "".join(f"<p>filler {n} of the first page</p>" for n in range(300))
+    rows = [(0, "h", start)] + [(i, "h", f"<p>a {i}</p><p>b {i}</p><p>Follow the group</p><p>c {i}</p><p>d {i}</p>") for i in range(1, 60)]
+    got = {r.key: r for r in markup.clean_markup(spark.createDataFrame(rows, "key int, host string, value string").repartition(1)).collect()}
+    assert not any("Follow" in r.clean for r in got.values()) and all(f"c {i}" in got[i].clean for i in range(1, 60)) and got[0].clean.count("filler") == 300
+
+
+def test_a_constant_is_a_share_of_all_pages_of_its_host(spark):
+    rows = [(i, "h", f"<p>shared note</p><p>own {i}</p>" if i % 2 else f"<p>own {i}</p>") for i in range(40)]
+    got = markup.clean_markup(spark.createDataFrame(rows, "key int, host string, value string")).collect()
+    assert sum("shared note" in r.clean for r in got) == 20
+
+
+def test_templates_join_alike_with_and_without_broadcast(spark, monkeypatch):
+    rows = [(i, f"h{i % 3}", f"<p>own {i}</p><p>foot {i % 3}</p>") for i in range(60)]
+    df = spark.createDataFrame(rows, "key int, host string, value string")
+    small = {(r.key, r.clean) for r in markup.clean_markup(df).collect()}
+    monkeypatch.setattr(markup, "BROADCAST_BYTES", 0)
+    assert {(r.key, r.clean) for r in markup.clean_markup(df).collect()} == small == {(i, f"own {i}") for i in range(60)}
+
+
+def test_long_constructs_are_markup_too():
+    assert markup.parse("$$" + "x + " * 900 + "y^2$$")[1] == ["latex"] and markup.parse("see [" + "word " * 100 + "](y.md)")[1] == ["markdown"]
+    assert markup.parse("a {{note|" + "word " * 100 + "{{inner|x}} end}} b")[1] == ["wiki"]
+    tree = markup.parse("a {{note|b {{inner|x}} c}} d")[0]
+    assert markup.blocks_of(tree) == [("paragraph", "a b x c d")]
+
+
 # --- 7. groups
 
 
