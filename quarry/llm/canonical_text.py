@@ -15,9 +15,13 @@ from pyspark.sql.functions import pandas_udf
 # Letters of other scripts that look like a Latin letter.
 CYRILLIC = dict(zip("аеорсухіјѕԁһԛԝӏАВЕКМНОРСТУХІЈЅԚԜ", "aeopcyxijsdhqwlABEKMHOPCTYXIJSQW"))
 GREEK = dict(zip("αικνορυχγΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aikvopuxyABEZHIKMNOPTYX"))
-LOOKALIKE = CYRILLIC | GREEK
+ARMENIAN = dict(zip("օսհոցզԼՍՏՕ", "ouhngqLUSO"))
+CHEROKEE = dict(zip("ᎪᎬᎳᎷᎻᏀᏃᏙᏚᏢᏤᏦᏒᏟ", "AEWMHGZVSPVKRC"))
+LOOKALIKE = CYRILLIC | GREEK | ARMENIAN | CHEROKEE
 #: Only letters whose lower-case look is unmistakable are turned back from Latin.
 BACK = {"Cyrillic": {v: k for k, v in CYRILLIC.items() if v in "aeopcyxijsABEKMHOPCTYX"}, "Greek": {v: k for k, v in GREEK.items() if v in "ovABEZHIKMNOPTYX"}}
+#: Scripts that are told apart; of the last two no letter is ever put in place of a Latin one.
+SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian", "Cherokee")
 #: Compatibility forms that are another width or kind of the same sign; superscripts and the like differ in look.
 SAME_SIGN = ("<wide>", "<narrow>", "<noBreak>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>")
 # End.
@@ -28,33 +32,46 @@ WORD = regex.compile(r"[\p{L}\p{M}]+")
 PLAIN = regex.compile(r"^[\n\x20-\x7e]*$")
 
 
-@lru_cache(maxsize=200_000)
-def _folded(char: str) -> str:
-    """The usual form of one character, without context; itself where it is already usual."""
+def _usual(char: str) -> str:
+    """One step towards the usual form of a character that has no canonical decomposition."""
     category = unicodedata.category(char)
-    if category == "Cf" or char in "͏ᅟᅠ឴឵ㅤﾠ" or "︀" <= char <= "️":
+    if category == "Cf" or char in "\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0" or "\ufe00" <= char <= "\ufe0f":
         return ""
-    if category == "Zs" or char in "  \x0b\x0c\x85\t":
+    if category == "Zs" or char in "\u2028\u2029\x0b\x0c\x85\t":
         return " "
     if category == "Cc":
         return char if char in "\n\r" else ""
+    if char in "\u2010\u2011":
+        return "-"
     kind = unicodedata.decomposition(char).split(" ")[0]
-    if kind in SAME_SIGN:
-        return unicodedata.normalize("NFKC", char)
-    if kind == "<compat>" and category[0] in "LN" and char != "ſ":
+    if kind in SAME_SIGN or (kind == "<compat>" and category[0] in "LN" and char != "ſ"):
         return unicodedata.normalize("NFKC", char)
-    return "-" if char in "‐‑" else char
+    return char
+
+
+@lru_cache(maxsize=200_000)
+def _folded(char: str) -> str:
+    """The usual form of one character, without context; itself where it is already usual.
+
+    The parts of a composed character are folded one by one and again until nothing changes, so a
+    letter and its composed form end alike.
+    """
+    parts = unicodedata.normalize("NFD", char)
+    folded = parts
+    while (after := unicodedata.normalize("NFD", "".join(map(_usual, folded)))) != folded:
+        folded = after
+    return char if folded == parts and unicodedata.is_normalized("NFC", char) else unicodedata.normalize("NFC", folded)
 
 
 @lru_cache(maxsize=200_000)
 def _unstable(char: str) -> bool:
     """Quick-check property: may the character change, alone or with its neighbours?"""
-    return char > "~" and (char in LOOKALIKE or _folded(char) != char or unicodedata.combining(char) > 0 or not unicodedata.is_normalized("NFC", char) or bool(MARK.match(char))) or (char < " " and char not in "\n")
+    return char > "~" and (char in LOOKALIKE or _folded(char) != char or unicodedata.combining(char) > 0 or not unicodedata.is_normalized("NFC", char) or bool(MARK.match(char)) or "\u1161" <= char <= "\u11c2") or (char < " " and char not in "\n")
 
 
 def _script(char: str) -> str:
     name = unicodedata.name(char, "")
-    return next((s for s in ("Latin", "Cyrillic", "Greek") if name.startswith(s.upper())), "")
+    return next((s for s in SCRIPTS if name.startswith(s.upper())), "")
 
 
 def _word(word: str, home: str) -> str:
@@ -69,24 +86,25 @@ def _word(word: str, home: str) -> str:
             count[s] = count.get(s, 0) + 1
     if set(count) == {"Cyrillic"} and home == "Latin" and all(c in CYRILLIC or MARK.match(c) for c in word):
         return "".join(CYRILLIC.get(c, c) for c in word)
-    other = next((s for s in ("Cyrillic", "Greek") if s in count), "")
+    other = next((s for s in SCRIPTS[1:] if s in count), "")
     if not other or "Latin" not in count or len(count) > 2:
         return word if len(count) < 3 else "".join(LOOKALIKE.get(c, c) for c in word)
     foreign = [c for c in word if _script(c) == other]
     to_latin = all(c in LOOKALIKE for c in foreign)
-    to_other = all(c in BACK[other] for c in word if _script(c) == "Latin")
+    back = BACK.get(other, {})
+    to_other = all(c in back for c in word if _script(c) == "Latin")
     if to_latin and to_other:
         to_latin = home != other if home in ("Latin", "Cyrillic", "Greek") else count["Latin"] >= count[other]
-    if to_latin and (other == "Cyrillic" or count["Latin"] >= 2):
+    if to_latin and (other != "Greek" or count["Latin"] >= 2):
         return "".join(LOOKALIKE.get(c, c) for c in word)
     if to_other and not to_latin and (other == "Cyrillic" or count[other] > 2 * count["Latin"]):
-        return "".join(BACK[other].get(c, c) if _script(c) == "Latin" else c for c in word)
+        return "".join(back.get(c, c) if _script(c) == "Latin" else c for c in word)
     return word
 
 
 def _home(text: str) -> str:
     """The script of the value: of its letters that cannot be taken for another script's."""
-    sure = {"Latin": 0, "Cyrillic": 0, "Greek": 0}
+    sure = dict.fromkeys(SCRIPTS, 0)
     for char in text:
         if char.isalpha() and char not in LOOKALIKE and (s := _script(char)):
             sure[s] += char.lower() not in "aeopcyxijs"
@@ -99,9 +117,20 @@ def _home(text: str) -> str:
 def canonical(text: str | None) -> str | None:
     """The consistent form of one text; null stays null, and spelling, case and plain blanks stay too.
 
-    Unstable characters are found first; each is widened to a segment that ends at stable
-    characters, words and their marks being kept whole, and only the segments are rewritten.
+    The rewriting of unstable segments is repeated until nothing changes, so the form of a form is
+    itself; should segments ever take turns, the smallest of these texts is the form.
     """
+    seen = [text]
+    while (after := _rewritten(text)) != text:
+        if after in seen:
+            return min(seen[seen.index(after):])
+        seen.append(text := after)
+    return text
+
+
+def _rewritten(text: str | None) -> str | None:
+    """One pass: unstable characters are found first; each is widened to a segment that ends at stable
+    characters, words and their marks being kept whole, and only the segments are rewritten."""
     if not text or PLAIN.match(text):
         return text
     spots = [i for i, char in enumerate(text) if (char > "~" or char < " ") and _unstable(char)]
