@@ -23,15 +23,21 @@ PAIRS = {"(": ")", "[": "]", "{": "}", "“": "”", "„": "“", "«": "»", "
 EMPTY_LINE = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
 CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
 BARE = re.compile(r"[฀-໿ក-៿က-႟]")  # scripts whose sentences are parted by blanks only
-TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]{0,200}>|\\[A-Za-z]+\*?|\$[^$\n]{1,80}\$|&[#A-Za-z0-9]{1,8};")
+TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>|\\[A-Za-z]+\*?|\$[^$\n]+\$|&[#A-Za-z0-9]{1,8};")
 CJK_END = re.compile(r"[。！？｡…!?]+[」』）］｝〉》】”’\"*_`~]*")
 DIGITS = re.compile(r"[0-9०-९๐-๙٠-٩]+")
+BRACKET = re.compile("[" + re.escape("".join(sorted(set(PAIRS) | set(PAIRS.values())))) + "]")
+CLOSERS = "»”)]"
+ENDING = re.compile(f"[{re.escape(END)}]")
+REPEATED = re.compile(r"(.)\1{3,}")
 TAIL = re.compile(rf"([{re.escape(END)}]+)([{re.escape(CLOSE)}]*)$")
 
 #: Distinct words and whole contexts kept in a model: those that reach this share of the whole count.
 VOCABULARY = 50_000
 CONTEXTS = 200_000
 ROUNDS = 6
+#: Longer tokens are no words: whatever they are, they count as their shape.
+LONG_WORD = 40
 #: Stands for any previous word; with a shape behind it, for any word of that shape.
 ANY = "\x02"
 #: How much less likely a sentence of one or two tokens is than a longer one.
@@ -39,22 +45,30 @@ SHORT = {1: 0.02, 2: 0.3}
 
 
 def _word(token: str) -> str:
-    """A token's identity to the model: without markup and opening signs, digits as one 9."""
-    bare = TAG.sub("", token).lstrip(OPEN).rstrip(CLOSE)
-    return DIGITS.sub("9", bare)[:40] or token[:1]
+    """A token's identity to the model: without markup and opening signs, digits as one 9; the shape of a very long one."""
+    bare = token if token.isalnum() else TAG.sub("", token).lstrip(OPEN).rstrip(CLOSE)
+    word = DIGITS.sub("9", bare) or token[:1]
+    return word if len(word) <= LONG_WORD else _shape(word)
+
+
+def _signs(text: str) -> str:
+    """End signs, of which more than three equal ones in a row count as three."""
+    return REPEATED.sub(r"\1\1\1", text)
 
 
 def _mark(token: str) -> tuple[str, str] | None:
     """(identity, end signs) of a token that may end a sentence, else None."""
+    if not ENDING.search(token):
+        return None
     bare = TAG.sub("", token)
     found = TAIL.search(bare)
     if not found:
         return None
-    word = DIGITS.sub("9", bare[: found.start()].lstrip(OPEN))[-40:]
-    signs = found.group(1)[:3] + "".join(c for c in found.group(2) if c not in "*_`~>'")[:2]
+    word = DIGITS.sub("9", bare[: found.start()].lstrip(OPEN))
+    signs = _signs(found.group(1) + "".join(c for c in found.group(2) if c not in "*_`~>'"))
     if len(word) == 1 and word.isupper():
         word = "X"
-    return word, signs
+    return (word if len(word) <= LONG_WORD else _shape(word)), signs
 
 
 def _shape(word: str) -> str:
@@ -71,39 +85,55 @@ def _class(word: str) -> str:
 
 
 def _inside(text: str) -> list[tuple[int, int]]:
-    """Spans within matched brackets and quotation marks, outermost only."""
+    """Spans within matched brackets and quotation marks, outermost only: in order and apart from each other."""
     stack: list[tuple[str, int]] = []
+    awaited: Counter[str] = Counter()
     spans: list[tuple[int, int]] = []
-    for i, char in enumerate(text):
-        if stack and char in {c for c, _ in stack}:
+    for sign in BRACKET.finditer(text):
+        char, i = sign.group(), sign.start()
+        if awaited[char]:
             while stack[-1][0] != char:
-                stack.pop()
+                awaited[stack.pop()[0]] -= 1
             _, start = stack.pop()
+            awaited[char] -= 1
             while spans and spans[-1][0] >= start:
                 spans.pop()
             spans.append((start, i))
         elif char in PAIRS:
             stack.append((PAIRS[char], i))
+            awaited[PAIRS[char]] += 1
     return spans
 
 
+class Spans:
+    """Is a growing position within a span?  Spans and positions are walked side by side."""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        self.spans, self.at = spans, 0
+
+    def hold(self, end: int, lead: int) -> bool:
+        """Does a span that begins before ``end - lead`` go on at ``end``?"""
+        while self.at < len(self.spans) and self.spans[self.at][1] < end:
+            self.at += 1
+        return self.at < len(self.spans) and self.spans[self.at][0] < end - lead
+
+
 def _spaced(text: str) -> tuple[list[tuple[int, str, str, str, str, int]], str, tuple[str, str, str]]:
     """Candidates (end, previous, current, signs, next, tokens since the last), first word, last context."""
-    spans = _inside(text)
+    spans = Spans(_inside(text))
     tokens = [(m.end(), m.group()) for m in re.finditer(r"\S+", text)]
-    out, since, at, last = [], 0, 0, ("", "", "")
+    out, since, last = [], 0, ("", "", "")
     for i, (end, token) in enumerate(tokens):
         since += 1
-        mark = _mark(token)
-        closer = i > 0 and not token.strip("»”)]") and _mark(tokens[i - 1][1])
+        closer = mark = None
+        if i and token[0] in CLOSERS and not token.strip(CLOSERS):
+            closer = _mark(tokens[i - 1][1])
         if closer:
-            mark = (closer[0], (closer[1] + token)[:5])
-        elif mark and i + 1 < len(tokens) and not tokens[i + 1][1].strip("»”)]"):
-            mark = None
+            mark = (closer[0], _signs(closer[1] + token))
+        elif ENDING.search(token) and (i + 1 == len(tokens) or tokens[i + 1][1].strip(CLOSERS)):
+            mark = _mark(token)
         if mark:
-            while at < len(spans) and spans[at][1] < end - 1:
-                at += 1
-            if at < len(spans) and spans[at][0] < end - 1 and spans[at][1] >= end:
+            if spans.hold(end, 1):
                 continue
             previous = _word(tokens[i - (2 if closer else 1)][1]) if i >= (2 if closer else 1) else ""
             if i + 1 < len(tokens):
@@ -124,11 +154,11 @@ def _chars(text: str, at: int) -> str:
 
 
 def _dense(text: str):
-    spans, out, last, before = _inside(text), [], ("", "", ""), 0
+    spans, out, last, before = Spans(_inside(text)), [], ("", "", ""), 0
     for m in CJK_END.finditer(text):
-        if any(a < m.end() - 1 and b >= m.end() for a, b in spans):
+        if spans.hold(m.end(), 1):
             continue
-        signs = m.group().rstrip("*_`~")[:4]
+        signs = _signs(m.group().rstrip("*_`~"))
         follows = _chars(text, m.end())
         if follows:
             out.append((m.end(), "", "", signs, follows, 3 + m.end() - before))
@@ -139,13 +169,13 @@ def _dense(text: str):
 
 
 def _blank(text: str):
-    """Every blank may part sentences; the last and first letters of the neighbours are the words."""
+    """Every blank may part sentences; these scripts part no words, so four letters on either side of it stand for them."""
     tokens = [(m.end(), m.group()) for m in re.finditer(r"\S+", text)]
     first = lambda t: w[:4] if BARE.match(w := _word(t)) else _shape(w) + "b"
     final = lambda t: w[-4:] if BARE.match(w := _word(t)) else _shape(w) + "b"
-    spans, out = _inside(text), []
+    spans, out = Spans(_inside(text)), []
     for i, (end, token) in enumerate(tokens[:-1]):
-        if any(a < end and b >= end for a, b in spans):
+        if spans.hold(end, 0):
             continue
         previous = final(tokens[i - 1][1]) if i else ""
         out.append((end, previous, final(token), " ", first(tokens[i + 1][1]), 3))
@@ -154,6 +184,8 @@ def _blank(text: str):
 
 
 def _read(paragraph: str):
+    if paragraph.isascii():
+        return _spaced(paragraph)
     letters = sum(map(str.isalpha, paragraph)) or 1
     if 3 * len(BARE.findall(paragraph)) > letters:
         return _blank(paragraph)

@@ -369,6 +369,30 @@ def test_the_flow_prefers_few_repeats():
     assert sum(flows[("a",), "a"]) == 200 and flows[("a",), "a"][:2] == [100, 100] and flows[("b",), "b"][0] == 200
 
 
+def test_equal_content_belongs_to_all_of_its_sources(spark):
+    rows = [(i, "a", f"a{i}", 10) for i in range(50)] + [(100 + i, "b", f"a{i}", 10) for i in range(20)] + [(300, None, "a1", 10), (301, "c", "a2", 10), (302, "a", None, 10)]
+    sizes = spark.createDataFrame(rows, "key long, source string, content string, tokens long")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1), (None, 0.1, 1)], "source string, target_share double, max_repeats int")
+    got = {r.key: r.sources for r in mixing.with_sources(sizes, "content", "source", targets).collect()}
+    assert sorted(got[3]) == sorted(got[103]) == ["a", "b"] and got[30] == ["a"] and got[300] == [] and sorted(got[301]) == ["a", "b", "c"] and got[302] == ["a"] and len(got) == len(rows)
+    chosen = mixing.mix(mixing.with_sources(sizes, "content", "source", targets), targets).collect()
+    taken = Counter()
+    for r in chosen:
+        taken[r.source] += r.uses * r.tokens
+    # b alone holds 20 documents; with the copies of its texts under a it fills half of all 73.
+    assert abs(taken["a"] - taken["b"]) <= 20 and taken["b"] > 300
+
+
+def test_patterns_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PATTERNS", 3)
+    rng = random.Random(2)
+    rows = [(i, rng.sample("abcde", rng.randint(1, 4)), 10) for i in range(400)]
+    sizes = spark.createDataFrame(rows, "key long, sources array<string>, tokens long")
+    targets = spark.createDataFrame([(s, 0.2, 2) for s in "abcde"], "source string, target_share double, max_repeats int")
+    for r in mixing.shares(mixing.mix(sizes, targets), sizes, targets).collect():
+        assert abs(r.reached_share - 0.2) < 0.02
+
+
 # --- 10. sentences
 
 
@@ -385,6 +409,30 @@ def test_spans_hold_every_sign(spark, data, model):
         assert all(a < b and not text[a].isspace() and not text[b - 1].isspace() for a, b in spans)
         assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
 
+def test_spans_are_walked_as_a_scan_finds_them():
+    rng = random.Random(5)
+    for _ in range(300):
+        text = "".join(rng.choice("(ab )[]“”\"«»x. ") for _ in range(rng.randint(0, 60)))
+        spans = S._inside(text)
+        assert all(a[1] < b[0] for a, b in itertools.pairwise(spans))
+        for lead in (0, 1):
+            walk = S.Spans(spans)
+            for end in range(1, len(text) + 1):
+                assert walk.hold(end, lead) == any(a < end - lead and b >= end for a, b in spans)
+
+
+def test_one_paragraph_of_many_quotations_is_read_in_linear_time():
+    import time
+
+    times = []
+    for n in (4_000, 16_000):
+        began = time.perf_counter()
+        S.split(S.Model(), "“A thing was said (by us).” " * n + "「これ。」と言った。" + "(open " * n)
+        times.append(time.perf_counter() - began)
+    assert times[1] < 10 * times[0] + 1
+    assert S._word("x" * 41) == S._shape("x" * 41) and S._mark("y" * 50 + "!!!!!!!!") == (S._shape("y"), "!!!")
+
+
 
 def test_rules_that_always_hold(model):
     assert S.split(model, None) == S.split(model, "") == S.split(model, " \n\n ") == []
