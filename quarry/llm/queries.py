@@ -112,7 +112,11 @@ def p8_space(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut(_sizes(spark, sf_dir).withColumn("sources", F.array_compact(F.array("source"))).select("key", "tokens", "sources"))
+    """Sizes of the documents, with all sources under which their text stands."""
+    content = F.when(F.col("text") != "", F.md5("text"))
+    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "source", "text", content.alias("content"))
+    sizes = cut(tokens.token_counts(documents))
+    return mixing.with_sources(sizes, "content", "source", table(spark, sf_dir, "mix_targets")).select("key", "tokens", "sources")
 
 
 def p9_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
