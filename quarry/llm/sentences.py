@@ -24,6 +24,7 @@ EMPTY_LINE = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
 CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
 BARE = re.compile(r"[฀-໿ក-៿က-႟]")  # scripts whose sentences are parted by blanks only
 TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>|\\[A-Za-z]+\*?|\$[^$\n]+\$|&[#A-Za-z0-9]{1,8};")
+TAGGED = re.compile(r"[<\\$&]")
 CJK_END = re.compile(r"[。！？｡…!?]+[」』）］｝〉》】”’\"*_`~]*")
 DIGITS = re.compile(r"[0-9०-९๐-๙٠-٩]+")
 BRACKET = re.compile("[" + re.escape("".join(sorted(set(PAIRS) | set(PAIRS.values())))) + "]")
@@ -46,7 +47,8 @@ SHORT = {1: 0.02, 2: 0.3}
 
 def _word(token: str) -> str:
     """A token's identity to the model: without markup and opening signs, digits as one 9; the shape of a very long one."""
-    bare = token if token.isalnum() else TAG.sub("", token).lstrip(OPEN).rstrip(CLOSE)
+    bare = TAG.sub("", token) if TAGGED.search(token) else token
+    bare = bare.lstrip(OPEN).rstrip(CLOSE)
     word = DIGITS.sub("9", bare) or token[:1]
     return word if len(word) <= LONG_WORD else _shape(word)
 
@@ -60,7 +62,7 @@ def _mark(token: str) -> tuple[str, str] | None:
     """(identity, end signs) of a token that may end a sentence, else None."""
     if not ENDING.search(token):
         return None
-    bare = TAG.sub("", token)
+    bare = TAG.sub("", token) if TAGGED.search(token) else token
     found = TAIL.search(bare)
     if not found:
         return None
@@ -119,29 +121,35 @@ class Spans:
 
 
 def _spaced(text: str) -> tuple[list[tuple[int, str, str, str, str, int]], str, tuple[str, str, str]]:
-    """Candidates (end, previous, current, signs, next, tokens since the last), first word, last context."""
+    """Candidates (end, previous, current, signs, next, tokens since the last), first word, last context.
+
+    A token with an end sign is looked for from the end of the one before, and no token between
+    them holds an end sign, so the first hit is its place.
+    """
     spans = Spans(_inside(text))
-    tokens = [(m.end(), m.group()) for m in re.finditer(r"\S+", text)]
-    out, since, last = [], 0, ("", "", "")
-    for i, (end, token) in enumerate(tokens):
-        since += 1
-        closer = mark = None
-        if i and token[0] in CLOSERS and not token.strip(CLOSERS):
-            closer = _mark(tokens[i - 1][1])
-        if closer:
-            mark = (closer[0], _signs(closer[1] + token))
-        elif ENDING.search(token) and (i + 1 == len(tokens) or tokens[i + 1][1].strip(CLOSERS)):
-            mark = _mark(token)
-        if mark:
-            if spans.hold(end, 1):
+    tokens = text.split()
+    out, before, end, last = [], -1, 0, ("", "", "")
+    for i, token in enumerate(tokens):
+        closer = None
+        if ENDING.search(token):
+            end = text.find(token, end) + len(token)
+            if i + 1 < len(tokens) and not tokens[i + 1].strip(CLOSERS):
                 continue
-            previous = _word(tokens[i - (2 if closer else 1)][1]) if i >= (2 if closer else 1) else ""
+            mark = _mark(token)
+        elif i and token[0] in CLOSERS and not token.strip(CLOSERS) and (closer := _mark(tokens[i - 1])):
+            end = text.find(token, end) + len(token)
+            mark = (closer[0], _signs(closer[1] + token))
+        else:
+            continue
+        if mark and not spans.hold(end, 1):
+            behind = i - (2 if closer else 1)
+            previous = _word(tokens[behind]) if behind >= 0 else ""
             if i + 1 < len(tokens):
-                out.append((end, previous, *mark, _word(tokens[i + 1][1]), since))
-                since = 0
+                out.append((end, previous, *mark, _word(tokens[i + 1]), i - before))
+                before = i
             else:
                 last = (previous, *mark)
-    return out, _word(tokens[0][1]) if tokens else "", last
+    return out, _word(tokens[0]) if tokens else "", last
 
 
 def _chars(text: str, at: int) -> str:
@@ -184,7 +192,7 @@ def _blank(text: str):
 
 
 def _read(paragraph: str):
-    if paragraph.isascii():
+    if paragraph.isascii() or not (BARE.search(paragraph) or CJK.search(paragraph)):
         return _spaced(paragraph)
     letters = sum(map(str.isalpha, paragraph)) or 1
     if 3 * len(BARE.findall(paragraph)) > letters:
