@@ -166,6 +166,57 @@ def test_the_assignment_is_the_best(spark):
         assert len({l for l, *_ in found}) == len({r for _, r, _ in found}) == len(found)
 
 
+@pytest.mark.parametrize("n", [12, 13, 40, 10_000])
+def test_equal_entries_of_many_papers_all_mean_the_one_work(spark, n):
+    schema = "key long, scope string, title string, authors array<string>, year int, journal string"
+    row = ("Decay of the axion in dense matter", ["Smith, J.", "Lee, K."], 2011, "Acta Hadr. B 12 (2011) 345")
+    left = spark.createDataFrame([(i, f"paper {i}", *row) for i in range(n)], schema)
+    right = spark.createDataFrame([(7, None, *row), (8, None, "Another matter altogether", ["Poe, E."], 2001, None)], schema)
+    got = entity_match.match_records(left, right).collect()
+    assert {(r.left_key, r.right_key) for r in got} == {(i, 7) for i in range(n)}
+
+
+def test_candidates_do_not_depend_on_blocks(spark, monkeypatch):
+    rng = random.Random(4)
+    words = "axion decay dense matter quark gluon lattice field gauge boson neutrino mass mixing solar flux dark halo".split()
+    schema = "key long, scope string, title string, authors array<string>, year int, journal string"
+
+    def record(key, scope):
+        return key, scope, " ".join(rng.sample(words, 6)), [f"{rng.choice('ABCDEF')}ranton, J."], 2000 + rng.randint(0, 5), None
+
+    many = [record(i, None) for i in range(1500)]
+    few = [(9000 + i, "p", *many[100 * i][2:]) for i in range(15)]
+    left, right = spark.createDataFrame(few, schema), spark.createDataFrame(many, schema)
+    found = []
+    for block in (48, 4_096):
+        monkeypatch.setattr(entity_match, "BLOCK", block)
+        found.append({tuple(r) for r in entity_match.candidates(left, right).collect()})
+    assert found[0] == found[1] and len({x[0] for x in found[0]}) == 15
+
+
+def test_large_runs_of_one_key_ask_for_more(spark, monkeypatch):
+    schema = "key long, scope string, title string, authors array<string>, year int, journal string"
+    monkeypatch.setattr(entity_match, "RUN_PAIRS", 10)
+    rng = random.Random(6)
+    names = ["".join(rng.choices("abcdefghiklmnoprstuvz", k=9)) for _ in range(120)]
+    right = spark.createDataFrame([(i, None, "Introduction", [f"{n.capitalize()}, J."], 2000, None) for i, n in enumerate(names)], schema)
+    left = spark.createDataFrame([(1000 + i, f"p{i}", "Introduction", [f"{n.capitalize()}, J."], 2000, None) for i, n in enumerate(names)], schema)
+    assert {(r.left_key - 1000, r.right_key) for r in entity_match.match_records(left, right).collect()} >= {(i, i) for i in range(120)}
+
+
+def test_records_without_common_ends_have_no_alike_names():
+    rng = random.Random(9)
+    for _ in range(20_000):
+        p = "".join(rng.choice("abc") for _ in range(rng.randint(3, 9)))
+        q = list(p)
+        for _ in range(rng.randint(0, 2)):
+            i = rng.randrange(len(q) + 1)
+            q[i:i + rng.randint(0, 1)] = rng.choice(["", "a", "b"])
+        q = "".join(q)
+        if entity_match._alike(p, q):
+            assert not entity_match._ends([p]).isdisjoint(entity_match._ends([q]))
+
+
 # --- 5. names
 
 
