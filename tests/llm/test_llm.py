@@ -236,8 +236,39 @@ def test_close_surnames_agree_with_brute_force(spark):
         i = rng.randrange(len(b) - 1)
         names |= {b[:i] + b[i + 1:], b[:i] + b[i + 1] + b[i] + b[i + 2:], b[:i] + "x" + b[i:]}
     df = spark.createDataFrame([(n,) for n in names], "surname string")
-    got = {(r.a, r.b) for r in name_variants.close_surnames(df).collect()}
-    assert got == {(a, b) for a, b in itertools.combinations(sorted(n for n in names if len(n) >= 5), 2) if N.edit_distance(a, b) <= 1}
+    got = {(r.a, r.b): r.edits for r in name_variants.close_surnames(df).collect()}
+    assert got == {(a, b): d for a, b in itertools.combinations(sorted(names), 2) if (d := N.levenshtein(a, b)) <= 2}
+    assert got.keys() >= {(a, b) for a, b in itertools.combinations(sorted(names), 2) if N.edit_distance(a, b) <= 1}
+
+
+def test_names_of_any_length_and_script_meet(spark):
+    names = ["x" * 70, "x" * 71, "x" * 60 + "y" * 9, "ю" * 5, "ю" * 6, "", "a", "ab", "abc", "長谷川", "長谷", "🙂🙂🙂", "🙂🙂"]
+    got = {(r.a, r.b) for r in name_variants.close_surnames(spark.createDataFrame([(n,) for n in names + names], "surname string")).collect()}
+    assert got == {(a, b) for a, b in itertools.combinations(sorted(n for n in names if n), 2) if N.levenshtein(a, b) <= 2}
+    assert name_variants.close_surnames(spark.createDataFrame([], "surname string")).count() == 0
+
+
+def _distinct_names(n):
+    rng = random.Random(8)
+    return sorted({"".join(rng.choice(["bra", "ko", "lin", "du", "ste", "mor", "va", "gi"]) for _ in range(rng.randint(2, 6))) for _ in range(n)})
+
+
+def test_pivots_part_the_names(spark, monkeypatch):
+    monkeypatch.setattr(name_variants, "CELL", 60)
+    names = _distinct_names(1500)
+    placed = name_variants.cells(spark.createDataFrame([(n,) for n in names], "surname string")).groupBy("cell").agg(F.count_if("home").alias("home"), F.count("*").alias("all")).collect()
+    assert sum(r.home for r in placed) == len(names)
+    # Without pivots there is one cell and every name is compared with every name.
+    assert len(placed) > 5 and sum(r.home * r.all for r in placed) < 0.6 * len(names) ** 2
+    got = {(r.a, r.b) for r in name_variants.close_surnames(spark.createDataFrame([(n,) for n in names], "surname string")).collect()}
+    assert got == {(a, b) for a, b in itertools.combinations(names, 2) if abs(len(a) - len(b)) <= 2 and N.levenshtein(a, b) <= 2}
+
+
+def test_a_slip_of_a_hot_surname_is_linked_at_any_size(spark):
+    given = [f"{a}{b}{c}o" for a in "bcdfgklm" for b in "aeiou" for c in "klmnrstv"]
+    rows = [(f"Strobanik, {g.capitalize()}",) for g in given] + [(f"Strobanic, {g.capitalize()}",) for g in given[::40]]
+    got = {(r.name_a, r.name_b) for r in name_variants.name_pairs(spark.createDataFrame(rows, "name string")).collect()}
+    assert {(f"Strobanic, {g.capitalize()}", f"Strobanik, {g.capitalize()}") for g in given[::40]} <= got
 
 
 def test_variants_of_one_person_are_linked(spark):
