@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,9 +25,16 @@ ABBREVIATIONS = (
     "Phys Rev Lett Nucl Astropart Eur Mod Ann Prog Rept J Int Suppl Conf Proc Fig Figs Eq Eqs Sec Secs Chap App Ref Refs Tab Vol No Ed Eds pp "
     "al cf vs e.g i.e resp approx ca et Dr Prof Univ Inst Collab"
 ).split()
-TITLE_STOPWORDS = "a an and at by for from in into of on the to with".split()
+TAG_STOPWORDS = (
+    "a an and are as at by for from in into is its of on or the to with within new study studies measurement measurements observation "
+    "analysis using via towards toward its their this that these those effects effect"
+).split()
+#: White space of Unicode, as a class that Java and RE2 read alike.
+BLANK = r"[\t-\r\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 # End.
 
+#: Initials that stand behind a name.
+INITIALS = r"( +([A-Z][.]?){1,3})+$"
 MIN_PREFIX = 4
 MAX_TERMS = 12
 
@@ -40,7 +49,7 @@ def strings(values: list[str]) -> Column:
 
 def collapse(text: str | Column) -> Column:
     """One blank for every run of white space, none at the ends; null stays null."""
-    return F.trim(F.regexp_replace(c(text), r"[ \t\r\n]+", " "))
+    return F.trim(F.regexp_replace(c(text), BLANK + "+", " "))
 
 
 def flatten(text: str | Column) -> Column:
@@ -86,6 +95,28 @@ def word_count(text: str | Column) -> Column:
     return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, " "))).cast("long")
 
 
+# TeX that renderers do not know, and what stands for it.
+MATH_NOISE = r"\\label\s*\{[^}]*\}|\\(?:nonumber|notag)(?![a-zA-Z])|\\(?:vspace|hspace)\*?\s*\{[^}]*\}|\\eqref\s*\{[^}]*\}|\\(?:hfill|hfil|vfill|noindent|protect|nobreak)(?![a-zA-Z])|\\ensuremath\s*(?=\{)"
+MATH_REWRITES = [("thinspace", "\\,"), ("medspace", "\\;"), ("negthinspace", "\\!"), ("mbox", "\\text"), ("alt", "\\lesssim"), ("agt", "\\gtrsim")]
+# End.
+
+
+def safe_math(tex: str | Column) -> Column:
+    """TeX of a formula with what renderers reject taken out or put otherwise; matrix commands become environments."""
+    t = F.regexp_replace(c(tex), MATH_NOISE, "")
+    for name, to in MATH_REWRITES:
+        t = F.regexp_replace(t, rf"\\{name}(?![a-zA-Z])", to.replace("\\", "\\\\"))
+    t = F.regexp_replace(t, r"\\isotope\s*\[([^\]]*)\]\s*\[([^\]]*)\]\s*\{([^}]*)\}", r"{}^{$1}_{$2}\\mathrm{$3}")
+    return F.regexp_replace(t, r"\\([pbvVB]?)matrix\s*\{((?:[^{}]|\{[^{}]*\})*)\}", r"\\begin{$1matrix}$2\\end{$1matrix}")
+
+
+def safe_prose(text: str | Column) -> Column:
+    """Prose with each inline formula made safe_math()."""
+    t = F.coalesce(c(text), F.lit(""))
+    outside, inside = F.split(t, r"\$[^$]*\$", -1), F.regexp_extract_all(t, F.lit(r"\$([^$]*)\$"), F.lit(1))
+    return F.array_join(F.transform(outside, lambda x, i: F.concat(x, F.when(i < F.size(inside), F.concat(F.lit("$"), safe_math(F.get(inside, i)), F.lit("$"))).otherwise(F.lit("")))), "")
+
+
 def occurrences(text: str | Column, phrase: str) -> Column:
     """How often ``phrase`` stands in a text, without overlap."""
     t = c(text)
@@ -108,6 +139,20 @@ def topic_terms(text: str | Column) -> Column:
     return F.slice(F.filter(title_words(text), lambda w: (F.length(w) >= 3) & ~F.array_contains(stop, w)), 1, MAX_TERMS)
 
 
+def topic_list(text: str) -> list[str]:
+    """topic_terms() of a text that a person gave, on the driver."""
+    barred, out = set(TOPIC_STOPWORDS) | set(META_TERMS), []
+    for w in re.findall("[0-9a-z]+", re.sub(r"\\[a-zA-Z]+", " ", text).lower()):
+        if len(w) >= 3 and w not in barred and w not in out:
+            out.append(w)
+    return out[:MAX_TERMS]
+
+
+def word_matches(a: Column, b: Column) -> Column:
+    """Equal words, or one the beginning of the other and the shorter of ``MIN_PREFIX`` letters."""
+    return (a == b) | ((F.least(F.length(a), F.length(b)) >= MIN_PREFIX) & (F.startswith(a, b) | F.startswith(b, a)))
+
+
 def segments(text: str | Column) -> Column:
     """Runs of words that no punctuation divides; a hyphen within a word does not."""
     bare = F.regexp_replace(F.regexp_replace(F.coalesce(c(text), F.lit("")), r"\\[a-zA-Z]+", " "), r"([0-9A-Za-z])[-‐‑](?=[0-9A-Za-z])", "$1 ")
@@ -134,10 +179,28 @@ def ngrams(text: str | Column, sizes: tuple[int, ...] = (2, 3)) -> Column:
     return F.array_distinct(F.transform(fit, lambda g: F.array_join(g, " ")))
 
 
+def escape_cell_split(line: str | Column) -> Column:
+    """The cells of a pipe table's row; an escaped pipe stays in its cell."""
+    inner = F.regexp_replace(F.trim(c(line)), r"^\||\|$", "")
+    return F.transform(F.split(inner, r"(?<!\\)\|"), lambda x: F.trim(x))
+
+
+def join_notes(*notes: Column) -> Column:
+    """Notes that are not null with semicolons between; null if there are none."""
+    return F.nullif(F.concat_ws("; ", *notes), F.lit(""))
+
+
+def report_name(path: str | Column) -> Column:
+    """Where the rendered form of a report source lies."""
+    p = c(path)
+    return F.when(F.endswith(p, F.lit(".source.md")), F.regexp_replace(p, r"\.source\.md$", ".md")).otherwise(F.regexp_replace(p, r"(\.md)?$", ".rendered.md"))
+
+
 def surname(author: str | Column) -> Column:
-    """What stands before the comma, else the last word."""
+    """What stands before the comma, else the last word that is not a run of initials."""
     a = F.trim(c(author))
-    return F.when(F.contains(a, F.lit(",")), F.trim(F.split_part(a, F.lit(","), F.lit(1)))).otherwise(F.element_at(F.split(a, " "), -1))
+    last = F.element_at(F.split(F.regexp_replace(a, INITIALS, ""), " "), -1)
+    return F.when(F.contains(a, F.lit(",")), F.trim(F.split_part(a, F.lit(","), F.lit(1)))).otherwise(last)
 
 
 def display_authors(authors: str | Column, shown: int = 3) -> Column:
@@ -147,6 +210,13 @@ def display_authors(authors: str | Column, shown: int = 3) -> Column:
     return F.when(F.size(a) > shown, F.concat(names, F.lit(" et al."))).otherwise(names)
 
 
+def display_names(authors: str | Column, shown: int) -> Column:
+    """The first names as they are written, and et al. where there are more; '' where there is none."""
+    a = F.filter(F.transform(F.coalesce(c(authors), F.expr("cast(array() as array<string>)")), lambda x: collapse(x)), lambda x: F.coalesce(x, F.lit("")) != "")
+    names = F.array_join(F.slice(a, 1, shown), ", ")
+    return F.when(F.size(a) > shown, F.concat(names, F.lit(" et al."))).otherwise(names)
+
+
 def citation_text(authors: str | Column, year: str | Column) -> Column:
     """Surname, or surname and others, and year; Anon and n.d. where unknown."""
     a = F.filter(F.coalesce(c(authors), F.expr("cast(array() as array<string>)")), lambda x: x.isNotNull() & (F.trim(x) != ""))
@@ -174,13 +244,28 @@ def find_doi(text: str | Column) -> Column:
     return F.regexp_replace(F.regexp_extract(F.coalesce(c(text), F.lit("")), r"(10\.[0-9]{4,9}/[^ \t\r\n,;]+)", 1), r"[.)]+$", "")
 
 
+def find_arxiv(text: str | Column) -> Column:
+    """The first arXiv identifier in a text, without version: after a prefix, else of a known form; or ''."""
+    t = F.lower(F.coalesce(c(text), F.lit("")))
+    marked = F.regexp_extract(t, r"arxiv[: ]\s*([0-9]{4}\.[0-9]{4,5}|[a-z-]+(?:\.[a-z]{2})?/[0-9]{7})", 1)
+    bare = F.regexp_extract(t, r"(?:^|[^0-9a-z./])((?:astro-ph|cond-mat|gr-qc|hep-(?:ex|lat|ph|th)|math-ph|nucl-(?:ex|th)|physics|quant-ph)/[0-9]{7})", 1)
+    return F.coalesce(F.nullif(marked, F.lit("")), bare)
+
+
 def find_year(text: str | Column) -> Column:
-    """The last plausible year in brackets, else the last one at all; null if there is none."""
+    """The last year in brackets, else the last plausible one at all; none later than next year; null if there is none."""
     t = F.regexp_replace(F.coalesce(c(text), F.lit("")), r"10\.[0-9]{4,9}/[^ \t\r\n,;]+|[0-9]{4}\.[0-9]{4,5}", " ")
-    years = F.regexp_extract_all(t, F.lit(r"\(((?:18|19|20)[0-9]{2})\)"), F.lit(1))
+    inner = F.regexp_extract_all(t, F.lit(r"\(([0-9]{4})\)"), F.lit(1))
     bare = F.regexp_extract_all(t, F.lit(r"\b((?:18|19|20)[0-9]{2})\b"), F.lit(1))
-    last = lambda a: F.get(a, F.size(a) - 1)
-    return F.coalesce(last(years), last(bare)).try_cast("int")
+    latest = F.year(F.current_date()) + 1
+    fit = lambda a: F.filter(a, lambda y: y.cast("int") <= latest)
+    last = lambda a: F.get(fit(a), F.size(fit(a)) - 1)
+    return F.when(F.size(inner) > 0, last(inner)).otherwise(last(bare)).try_cast("int")
+
+
+def volume_page(key: str | Column) -> Column:
+    """A journal key without its journal, null where there is none."""
+    return F.when(F.contains(c(key), F.lit(",")), F.substring_index(c(key), ",", -2))
 
 
 def journal_parts(journal: str | Column) -> Column:
@@ -202,10 +287,29 @@ def anchor_slug(label: str | Column) -> Column:
     return F.regexp_replace(F.lower(c(label)), "[^a-z0-9]+", "-")
 
 
-def sentences(text: str | Column) -> Column:
-    """Sentences that neither abbreviations nor numbers end."""
-    behind = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
-    return F.filter(F.transform(F.split(F.coalesce(c(text), F.lit("")), rf"(?<=(?<!\b(?:{behind}))[.!?])[ \t\r\n]+"), lambda s: F.trim(s)), lambda s: s != "")
+def sentence_marks(text: str | Column, clauses: bool = False) -> Column:
+    """A collapsed text in which a \\x02 stands for every blank that parts sentences, of equal length.
+
+    A mark and a blank part unless an abbreviation stands before the mark; two passes find
+    abbreviations that follow each other.  Clauses are parted by semicolons too.
+    """
+    known = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
+    marks = "[.!?;]" if clauses else "[.!?]"
+    t = c(text)
+    for _ in range(2):
+        t = F.regexp_replace(t, rf"(^|[^A-Za-z.])({known})(\.*{marks}) ", "$1$2$3\x01")
+    return F.regexp_replace(t, rf"({marks}) ", "$1\x02")
+
+
+def sentences(text: str | Column, clauses: bool = False) -> Column:
+    """Sentences, or clauses, that neither abbreviations nor numbers end; white space is collapsed."""
+    parts = F.split(sentence_marks(collapse(F.coalesce(c(text), F.lit(""))), clauses), "\x02")
+    return F.filter(F.transform(parts, lambda x: F.trim(F.translate(x, "\x01", " "))), lambda x: x != "")
+
+
+def first_sentence(text: str | Column, limit: int) -> Column:
+    """The first sentence, cut to a limit; '' where there is none."""
+    return F.coalesce(truncate(F.get(sentences(text), F.lit(0)), limit), F.lit(""))
 
 
 def readable(text: str | Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
@@ -19,7 +19,8 @@ def unresolved(blocks: DataFrame, store: DataFrame) -> DataFrame:
     """(tag, chapters, files): cited tags without a record, with the first ``SHOWN`` chapters that cite them."""
     missing = cited_tags(blocks).join(store.select("tag").distinct(), "tag", "left_anti")
     files = missing.select("tag", F.concat_ws("/", "slug", "stem").alias("file")).distinct()
-    return files.groupBy("tag").agg(F.count("*").alias("chapters"), F.slice(F.sort_array(F.collect_set("file")), 1, SHOWN).alias("files"))
+    first = files.withColumn("rn", F.row_number().over(Window.partitionBy("tag").orderBy("file"))).filter(F.col("rn") <= SHOWN)
+    return files.groupBy("tag").agg(F.count("*").alias("chapters")).join(first.groupBy("tag").agg(F.sort_array(F.collect_list("file")).alias("files")), "tag")
 
 
 def stale_held(store: DataFrame, papers: DataFrame) -> DataFrame:

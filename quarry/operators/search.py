@@ -14,6 +14,9 @@ from quarry.operators import address as A
 
 MIN_BACKOFF = 3
 MIN_COVERAGE = 0.34
+SENTENCE = 300
+PHRASE_WORDS = 6
+EXACT_TITLE, APPROXIMATE_TITLE = 0.95, 0.6
 
 
 def flat(blocks: DataFrame) -> DataFrame:
@@ -21,19 +24,41 @@ def flat(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("flat", T.flatten(T.words_of_block())).filter("flat <> ''")
 
 
+def _clipped(sentence: Column, before: Column, size: Column) -> Column:
+    """A sentence of at most ``SENTENCE`` characters around a match that begins after ``before`` of them."""
+    length = F.length(sentence)
+    left = F.greatest(F.lit(0), before - F.floor(F.greatest(SENTENCE - size, F.lit(0)) / 2))
+    right = F.least(length, left + SENTENCE)
+    left = F.greatest(F.lit(0), right - SENTENCE).cast("int")
+    piece = F.substring(sentence, left + 1, (right - left).cast("int"))
+    piece = F.when(left > 0, F.concat(F.lit("…"), F.substring(piece, 2, SENTENCE))).otherwise(piece)
+    piece = F.when(right < length, F.concat(F.substring(piece, F.lit(1), F.length(piece) - 1), F.lit("…"))).otherwise(piece)
+    return F.trim(F.when(length <= SENTENCE, sentence).otherwise(piece))
+
+
 def phrase_search(blocks: DataFrame, phrase: str, case_sensitive: bool = False) -> DataFrame:
-    """Blocks that hold a phrase, with how often, their address, neighbours and the text around the first match.
+    """One row for each match of a phrase: its address, place, sentence and the neighbours of its block.
 
     Phrase and block are flattened alike, so line breaks, odd blanks and curly quotes don't hide a
-    match.  Neighbours are looked up before the filter, in one pass over each chapter.
+    match.  Blocks are filtered first; only the chapters that hold a hit are walked for neighbours,
+    and of those only the narrow columns.  A match over the end of a sentence keeps all it touches.
     """
-    wanted = " ".join(phrase.translate(str.maketrans(T.QUOTES_FROM, "\"\"\"\"\"\"'''''"[: len(T.QUOTES_FROM)])).split())
+    wanted = " ".join(phrase.translate(str.maketrans(T.QUOTES_FROM, T.QUOTES_TO)).split())
     fold = (lambda c: c) if case_sensitive else F.lower
     needle = wanted if case_sensitive else wanted.lower()
-    found = A.neighbours(blocks).withColumn("flat", T.flatten(T.words_of_block())).filter(F.contains(fold(F.col("flat")), F.lit(needle)))
-    at = F.instr(fold(F.col("flat")), needle)
-    around = F.trim(F.substring("flat", F.greatest(at - 100, F.lit(1)), F.lit(200 + len(needle))))
-    return found.select("slug", "stem", F.col("idx").cast("long").alias("idx"), "kind", T.location().alias("location"), T.occurrences(fold(F.col("flat")), needle).alias("matches"), around.alias("around"), "prev", "next", "parent")
+    size = len(needle)
+    hits = flat(blocks).filter(F.contains(fold(F.col("flat")), F.lit(needle))).select("slug", "stem", "idx", "kind", "anchor", "flat")
+    narrow = blocks.select("slug", "stem", "idx", "kind", "level", "anchor").join(hits.select("slug", "stem").distinct(), ["slug", "stem"], "left_semi")
+    near = A.neighbours(narrow).select("slug", "stem", "idx", "prev", "next", "parent")
+    pieces = F.split(fold(F.col("flat")), f"\\Q{needle}\\E", -1)
+    none = F.expr("cast(array() as array<int>)")
+    starts = F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), none, lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(1 - size)) + size + F.length(x))))
+    rows = hits.select("*", T.sentence_marks("flat").alias("marked"), F.posexplode(starts).alias("match", "at"))
+    before = F.length(F.element_at(F.split(F.substring("marked", F.lit(1), F.col("at") - 1), "\x02", -1), -1))
+    after = F.length(F.element_at(F.split(F.expr(f"substring(marked, at + {size})"), "\x02", -1), 1))
+    sentence = F.substring("flat", F.col("at") - before, before + size + after)
+    rows = rows.withColumn("sentence", _clipped(sentence, before, F.lit(size))).join(near, ["slug", "stem", "idx"])
+    return rows.select("slug", "stem", F.col("idx").cast("long").alias("idx"), F.col("match").cast("long").alias("match"), "kind", T.location().alias("location"), "sentence", "prev", "next", "parent")
 
 
 def pattern_search(blocks: DataFrame, pattern: str) -> DataFrame:
@@ -63,21 +88,24 @@ def prefix_matches(terms: DataFrame, words: DataFrame) -> DataFrame:
     return left.join(right, "k").filter(fits).select("term", "word")
 
 
-def _hits(documents: DataFrame, topic: str) -> tuple[list[str], DataFrame]:
-    spark = documents.sparkSession
-    terms = [r[0] for r in spark.range(1).select(F.explode(T.topic_terms(F.lit(topic)))).collect()]
-    words = documents.select("key", F.explode(T.title_words("words")).alias("word"))
-    matched = prefix_matches(spark.createDataFrame([(t,) for t in terms], "term string"), words.select("word").distinct())
-    return terms, words.join(matched, "word").select("key", "term").distinct()
+def _topic_hits(documents: DataFrame, topic: str) -> tuple[list[str], DataFrame]:
+    """Topic terms and (key, got): which of them each document (key, words) holds; within the row, without a join."""
+    terms = T.topic_list(topic)
+    words = F.split(T.normalize_title("words"), " ")
+    got = F.filter(T.strings(terms), lambda t: F.exists(words, lambda w: T.word_matches(w, t))) if terms else F.expr("cast(array() as array<string>)")
+    return terms, documents.select("key", got.alias("got"))
 
 
 def term_weights(documents: DataFrame, topic: str) -> DataFrame:
-    """(term, df, weight): in how many documents (key, words) each topic term occurs, and ln(1 + N / df)."""
-    terms, hits = _hits(documents, topic)
-    n = documents.count()
-    every = documents.sparkSession.createDataFrame([(t,) for t in terms], "term string")
-    df = every.join(hits.groupBy("term").agg(F.count("*").alias("df")), "term", "left").fillna(0, ["df"])
-    return df.withColumn("weight", F.log(1 + F.lit(n) / F.greatest("df", F.lit(1))))
+    """(term, df, weight): in how many documents (key, words) each topic term occurs, and ln(1 + N / df).
+
+    One pass with a counter for each of the at most ``MAX_TERMS`` terms.
+    """
+    terms, hits = _topic_hits(documents, topic)
+    counts = hits.agg(F.count("*").alias("whole"), *[F.count_if(F.array_contains("got", t)).alias(f"n{i}") for i, t in enumerate(terms)])
+    rows = [F.struct(F.lit(t).alias("term"), F.col(f"n{i}").alias("df"), F.col("whole")) for i, t in enumerate(terms)]
+    every = counts.select(F.explode(F.array(*rows)).alias("r")).select("r.*") if rows else counts.select(F.lit("").alias("term"), F.lit(0).cast("long").alias("df"), "whole").limit(0)
+    return every.select("term", "df", F.log(1 + F.greatest("whole", F.lit(1)) / F.greatest("df", F.lit(1))).alias("weight"))
 
 
 def coverage(documents: DataFrame, topic: str, limit: int = 300) -> DataFrame:
@@ -86,17 +114,30 @@ def coverage(documents: DataFrame, topic: str, limit: int = 300) -> DataFrame:
     Rare terms weigh more.  ``missing`` names the absent terms in topic order.  Documents below
     ``MIN_COVERAGE`` are left out before a costlier scorer would see them.
     """
-    terms, hits = _hits(documents, topic)
+    terms, hits = _topic_hits(documents, topic)
     weights = {r["term"]: r["weight"] for r in term_weights(documents, topic).collect()}  # one row for each topic term, at most 12
     whole = sum(weights.values()) or 1.0
-    got = hits.groupBy("key").agg(F.collect_set("term").alias("got"))
     share = sum((F.when(F.array_contains("got", t), F.lit(w)).otherwise(F.lit(0.0)) for t, w in weights.items()), F.lit(0.0)) / whole
     missing = F.filter(T.strings(terms), lambda t: ~F.array_contains(F.col("got"), t))
-    return got.select("key", share.alias("coverage"), missing.alias("missing")).filter(F.col("coverage") >= MIN_COVERAGE).orderBy(F.desc("coverage"), "key").limit(limit)
+    return hits.select("key", share.alias("coverage"), missing.alias("missing")).filter(F.col("coverage") >= MIN_COVERAGE).orderBy(F.desc("coverage"), "key").limit(limit)
+
+
+def ladder(documents: DataFrame, topic: str) -> DataFrame:
+    """(key, rung): documents (key, title, words) by the first query of a ladder that finds them.
+
+    The rungs are strict (every topic term), phrase (the topic's first words in the title) and broad
+    (any term); a document of an earlier rung does not come again, so one pass tells its rung.
+    """
+    terms = T.topic_list(topic)
+    words = F.split(T.normalize_title("words"), " ")
+    held = F.size(F.filter(T.strings(terms), lambda t: F.array_contains(words, t)))
+    phrase = F.contains(T.normalize_title("title"), F.lit(" ".join(topic.lower().split()[:PHRASE_WORDS])))
+    rung = F.when(held == len(terms), "strict").when(phrase, "phrase").when(held > 0, "broad")
+    return documents.select("key", rung.alias("rung")).filter("rung is not null")
 
 
 def resort(rows: DataFrame, by: str, rank: str = "rank") -> DataFrame:
-    """Order by a column, largest first and unknown last, ties by relevance rank; adds ``position``."""
+    """Order by a column, largest first and unknown last, ties by relevance rank; where all are unknown that rank decides."""
     order = [F.col(rank)] if by == "relevance" else [F.col(by).desc_nulls_last(), F.col(rank)]
     return rows.orderBy(*order)
 
@@ -107,15 +148,78 @@ def sequence_ratio(a: Column, b: Column) -> Column:
     return pandas_udf(ratio, "double")(a, b)
 
 
-def title_hits(wanted: DataFrame, works: DataFrame, least: float = 0.95) -> DataFrame:
+def _title_keys(title: Column) -> Column:
+    """Keys that almost equal titles share: runs of three telling words and the ends of the title."""
+    words = F.filter(F.split(title, " "), lambda w: F.length(w) > 3)
+    words = F.when(F.size(words) >= 3, words).otherwise(F.split(title, " "))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))), lambda i: F.concat(F.lit("r"), F.array_join(F.slice(words, i, 3), " ")))
+    first, last = F.element_at(words, 1), F.element_at(words, -1)
+    ends = F.array(F.concat(F.lit("e"), first, F.lit(" "), last), F.concat(F.lit("f"), F.substring(title, 1, 12)), F.concat(F.lit("l"), F.substring(title, -12, 12)))
+    return F.array_distinct(F.concat(runs, ends))
+
+
+def title_hits(wanted: DataFrame, works: DataFrame, least: float = EXACT_TITLE) -> DataFrame:
     """(key, work_id, score): stored works whose title is almost the wanted one's (key, title).
 
-    Candidates share the first three words of the normalised title; the best score wins, ties the smaller id.
+    Distinct titles meet on any run of three telling words, on their two outer words or on either end;
+    lengths that rule the score out are left out before it is taken.  The best score wins, ties the
+    smaller id.  Titles that differ in every third word and at both ends do not meet.
+    """
+    left = wanted.select("key", T.normalize_title("title").alias("t")).filter("t <> ''")
+    right = works.select("work_id", T.normalize_title("title").alias("u")).filter("u <> ''").groupBy("u").agg(F.min("work_id").alias("work_id"))
+    fits = 2 * F.least(F.length("t"), F.length("u")) >= least * (F.length("t") + F.length("u"))
+    asked = left.select("t").distinct().select("t", F.explode(_title_keys(F.col("t"))).alias("k"))
+    pairs = asked.join(right.select("u", F.explode(_title_keys(F.col("u"))).alias("k")), "k").filter(fits).select("t", "u").distinct()
+    scored = pairs.withColumn("score", sequence_ratio(F.col("t"), F.col("u"))).filter(F.col("score") >= least).join(right, "u")
+    best = scored.groupBy("t").agg(F.max_by(F.struct("work_id", "score"), F.struct("score", -F.col("work_id"))).alias("b"))
+    return left.join(best, "t").select("key", "b.work_id", "b.score")
+
+
+def named_paper(works: DataFrame, title: str = "", author: str = "", year: int | None = None, most: int = 15) -> DataFrame:
+    """(work_id, score, match): how well stored works answer to a title, an author and a year that a person gave.
+
+    With a title the score is the likeness of titles or the share of its words that the other holds,
+    and 0.02 for the author and the year each; without, the share of what agrees.  A year agrees with
+    the one before too.  ``match`` is exact if all agrees, approximate from a likeness of
+    ``APPROXIMATE_TITLE``, else none; the best ``most``, ties by id.
+    """
+    spark = works.sparkSession
+    asked = spark.range(1).select(T.normalize_title(F.lit(title)).alias("t"), T.normalize_title(T.surname(F.lit(author))).alias("a")).first()
+    own = T.normalize_title("title")
+    rows = works.select("work_id", own.alias("u"), F.coalesce("authors", F.expr("cast(array() as array<string>)")).alias("authors"), "year")
+    checks: dict[str, Column] = {}
+    if title:
+        rows = rows.withColumn("ratio", sequence_ratio(F.lit(asked.t), F.col("u")))
+        checks["title"] = F.col("ratio") >= EXACT_TITLE
+        words = asked.t.split()
+        held = sum((F.array_contains(F.split("u", " "), w).cast("int") for w in words), F.lit(0)) / max(1, len(words))
+        rows = rows.withColumn("likeness", F.greatest("ratio", held))
+    if author:
+        checks["author"] = F.exists("authors", lambda x: F.contains(T.normalize_title(T.surname(x)), F.lit(asked.a))) & F.lit(bool(asked.a))
+    if year:
+        checks["year"] = F.coalesce(F.col("year").isin(year, year - 1), F.lit(False))
+    agreed = [F.coalesce(c, F.lit(False)) for c in checks.values()]
+    share = sum((c.cast("int") for c in agreed), F.lit(0)) / max(1, len(agreed))
+    bonus = sum((F.when(F.coalesce(checks[k], F.lit(False)), 0.02).otherwise(0.0) for k in ("author", "year") if k in checks), F.lit(0.0))
+    score = F.least(F.lit(1.0), F.col("likeness") + bonus) if title else share
+    close = F.col("likeness") >= APPROXIMATE_TITLE if title else share > 0
+    every = agreed[0] if agreed else F.lit(False)
+    for c in agreed[1:]:
+        every = every & c
+    match = F.when(every, "exact").when(close, "approximate").otherwise("none")
+    return rows.select("work_id", score.cast("double").alias("score"), match.alias("match")).orderBy(F.desc("score"), "work_id").limit(most)
+
+
+def scored(documents: DataFrame, topic: str, score=None, limit: int = 300) -> DataFrame:
+    """(key, score, ranked): documents (key, words) best first, the ``limit`` candidates of coverage scored by a model if there is one.
+
+    ``score`` maps (topic, texts as a Series) to numbers and runs on Arrow batches; without one, or for
+    texts it gives no number for, coverage stands in and such rows come after all scored ones.
     """
-    head = lambda c: F.array_join(F.slice(F.split(c, " "), 1, 3), " ")
-    left = wanted.select("key", T.normalize_title("title").alias("t")).filter("t <> ''").withColumn("k", head(F.col("t")))
-    right = works.select("work_id", T.normalize_title("title").alias("u")).filter("u <> ''").withColumn("k", head(F.col("u")))
-    near = left.join(right, "k").filter(F.abs(F.length("t") - F.length("u")) <= 0.11 * F.greatest(F.length("t"), F.length("u")))
-    scored = near.withColumn("score", sequence_ratio(F.col("t"), F.col("u"))).filter(F.col("score") >= least)
-    best = scored.groupBy("key").agg(F.max_by(F.struct("work_id", "score"), F.struct("score", -F.col("work_id"))).alias("b"))
-    return best.select("key", "b.work_id", "b.score")
+    found = coverage(documents, topic, limit)
+    if score is None:
+        return found.select("key", F.col("coverage").alias("score"), F.lit(False).alias("ranked"))
+    run = pandas_udf(lambda texts: pd.Series(score(topic, texts), dtype="float64"), "double")
+    rows = found.join(documents, "key").withColumn("model", run(F.coalesce("words", F.lit(""))))
+    ranked = F.col("model").isNotNull() & ~F.isnan("model")
+    return rows.select("key", F.when(ranked, F.col("model")).otherwise(F.col("coverage")).alias("score"), ranked.alias("ranked")).orderBy(F.desc("ranked"), F.desc("score"), "key")

@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from quarry.functions import text as T
 
 #: Names of the key kinds, strongest first; ``raw`` counts only where nothing else is known.
 KINDS = ["doi", "arxiv", "inspire", "journal", "title"]
+# Venues whose name says that a paper is a review, and the document type that does.
+REVIEW_VENUES = ["Phys.Rept.", "Rev.Mod.Phys.", "Prog.Part.Nucl.Phys.", "Ann.Rev.Nucl.Part.Sci.", "Ann.Rev.Astron.Astrophys.", "Living Rev.Rel."]
+REVIEW_TYPE = "review"
+# End.
+#: Handles of a bibliography line, strongest first.
+CASCADE = ["doi", "arxiv", "journal", "volume_page", "title"]
+LEAST_SLUG = 24
+SHOWN = 5
+ID_BUCKETS = 4_096
 MERGEABLE = ["title", "authors", "year", "journal", "journal_key", "doi", "arxiv_id", "inspire_id", "citation_count"]
 
 
@@ -50,9 +63,11 @@ def unambiguous(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def shared_identities(store: DataFrame) -> DataFrame:
-    """(identity, tags): keys other than titles that stand under several tags."""
+    """(identity, count, tags): keys other than titles that stand under several tags, with the first ``SHOWN`` of them."""
     rows = keyed(store.filter("tag is not null"), "tag").filter("priority < 4").select("identity", "tag").distinct()
-    return rows.groupBy("identity").agg(F.sort_array(F.collect_set("tag")).alias("tags")).filter(F.size("tags") > 1)
+    several = rows.groupBy("identity").agg(F.count("*").alias("count")).filter("count > 1")
+    first = rows.withColumn("rn", F.row_number().over(Window.partitionBy("identity").orderBy("tag"))).filter(F.col("rn") <= SHOWN)
+    return several.join(first.groupBy("identity").agg(F.sort_array(F.collect_list("tag")).alias("tags")), "identity")
 
 
 def from_records(records: DataFrame) -> DataFrame:
@@ -77,6 +92,17 @@ def from_records(records: DataFrame) -> DataFrame:
     )
 
 
+def work_kind(journal: Column, types: Column) -> Column:
+    """review by document type or the beginning of the venue, else article where either is known, else unknown."""
+    squeezed = lambda c: F.replace(F.replace(F.lower(F.coalesce(c, F.lit(""))), F.lit(" "), F.lit("")), F.lit("."), F.lit(""))
+    venue = squeezed(journal)
+    named = F.filter(F.transform(F.coalesce(types, F.expr("cast(array() as array<string>)")), lambda t: F.lower(F.trim(t))), lambda t: t != "")
+    review = F.array_contains(named, REVIEW_TYPE)
+    for v in REVIEW_VENUES:
+        review = review | F.startswith(venue, squeezed(F.lit(v)))
+    return F.when(review, "review").when((venue != "") | (F.size(named) > 0), "article").otherwise("unknown")
+
+
 def held_index(papers: DataFrame) -> DataFrame:
     """(identity, slug): which paper holds a work; of papers sharing a key the last in name order."""
     doi, arxiv = T.normalize_doi("doi"), T.normalize_arxiv("arxiv_id")
@@ -141,23 +167,172 @@ def upsert(store: DataFrame, incoming: DataFrame) -> DataFrame:
     return rows.select("key", action.when(F.col("leader").isNull() | (F.col("leader") == F.col("key")), "added").otherwise("repeated").alias("action"))
 
 
+def slugify(text: Column, limit: int = 48, default: str = "section", whole_words: bool = False) -> Column:
+    """Lower-case ASCII words joined by underscores, accents folded; cut at ``limit``, at a word's start if asked.
+
+    There is no built-in that folds accents, so this is an Arrow-batched function; null counts as ''.
+    """
+    def one(value: str | None) -> str:
+        folded = unicodedata.normalize("NFKD", re.sub(r"\\[a-zA-Z]+", " ", value or ""))
+        name = "_".join(re.findall("[0-9a-z]+", "".join(c for c in folded if not unicodedata.combining(c)).lower()))
+        short = name[:limit]
+        if whole_words and len(name) > limit and name[limit] != "_" and short.rfind("_") >= LEAST_SLUG:
+            short = short[: short.rfind("_")]
+        return short.rstrip("_") or default
+
+    return pandas_udf(lambda values: values.map(one), "string")(text)
+
+
 def base_tag() -> Column:
-    """surname_year_words: first author, year and four telling words of the title, lower-case ASCII."""
-    fold = lambda c: F.lower(F.translate(c, "áàâäãåéèêëíìîïóòôöõøúùûüñšžçý", "aaaaaaeeeeiiiioooooouuuunszcy"))
-    who = F.regexp_replace(fold(T.surname(F.get("authors", F.lit(0)))), "[^a-z0-9]+", "")
-    words = F.slice(F.filter(T.title_words(fold(F.col("title"))), lambda w: ~F.array_contains(T.strings(T.TITLE_STOPWORDS), w)), 1, 4)
-    return F.concat_ws("_", F.when(F.coalesce(who, F.lit("")) != "", who).otherwise(F.lit("anon")), F.coalesce(F.col("year").cast("string"), F.lit("nd")), F.when(F.size(words) > 0, F.array_join(words, "_")))
+    """surname_year_words: first author, year and four telling words of the title, or else of the journal."""
+    who = slugify(T.surname(F.get("authors", F.lit(0))), 24, "anon")
+    subject = F.coalesce(F.nullif("title", F.lit("")), F.nullif("journal", F.lit("")), F.lit(""))
+    words = F.filter(F.split(slugify(subject, 200, ""), "_"), lambda w: (w != "") & ~F.array_contains(T.strings(T.TAG_STOPWORDS), w) & ~w.rlike("^[0-9]+$"))
+    what = F.nullif(F.array_join(F.slice(words, 1, 4), "_"), F.lit(""))
+    return F.concat_ws("_", who, F.coalesce(F.col("year").cast("string"), F.lit("nd")), what)
 
 
-def lookup(store: DataFrame, tags: list[str], needle: str = "") -> DataFrame:
-    """Records of the given tags or with a phrase in title, authors, journal or tag; most cited first, unknown last."""
+def lookup(store: DataFrame, tags: list[str] = (), needle: str = "", dois: list[str] = (), arxiv: list[str] = (), cited_by: list[str] = ()) -> DataFrame:
+    """Records that any selector names: tags, DOIs or arXiv ids however written, papers that cite them, or a phrase.
+
+    Most cited first, unknown counts last, ties by tag and id; a record that several selectors name
+    comes once.  Without a selector there is nothing.
+    """
     hay = F.lower(F.concat_ws(" ", "tag", "title", F.array_join(F.coalesce("authors", F.expr("cast(array() as array<string>)")), " "), "journal"))
-    hit = F.col("tag").isin(tags) if tags else F.lit(False)
-    if needle:
-        hit = hit | F.contains(hay, F.lit(needle.lower()))
+    hits = [F.col("tag").isin(list(tags))] if tags else []
+    hits += [F.contains(hay, F.lit(needle.lower()))] if needle else []
+    hits += [T.normalize_doi("doi").isin([normal_doi(d) for d in dois])] if dois else []
+    hits += [T.normalize_arxiv("arxiv_id").isin([normal_arxiv(a) for a in arxiv])] if arxiv else []
+    hits += [F.exists(F.coalesce("cited_by", F.expr("filter(cited_by, x -> false)")), lambda e: e["slug"].isin(list(cited_by)))] if cited_by else []
+    hit = F.lit(False)
+    for h in hits:
+        hit = hit | F.coalesce(h, F.lit(False))
     return store.filter(hit).orderBy(F.col("citation_count").desc_nulls_last(), "tag", "work_id")
 
 
+def normal_doi(value: str) -> str:
+    return re.sub(r"^(https?://[^/]+/|doi: *)", "", value.strip().lower())
+
+
+def normal_arxiv(value: str) -> str:
+    return re.sub(r"v[0-9]+$", "", re.sub(r"^(https?://[^/]+/abs/|arxiv: *)", "", value.strip().lower()))
+
+
+def missing(store: DataFrame, tags: list[str] = (), dois: list[str] = (), arxiv: list[str] = ()) -> DataFrame:
+    """(kind, asked): what was asked for by name and no record answers to."""
+    spark = store.sparkSession
+    asked = [("tag", t, t) for t in tags] + [("doi", d, normal_doi(d)) for d in dois] + [("arxiv", a, normal_arxiv(a)) for a in arxiv]
+    rows = F.broadcast(spark.createDataFrame(asked, "kind string, asked string, value string"))  # what a person typed
+    own = store.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in (("tag", F.col("tag")), ("doi", T.normalize_doi("doi")), ("arxiv", T.normalize_arxiv("arxiv_id")))])).alias("x")).select("x.*")
+    known = own.join(rows.select("kind", "value"), ["kind", "value"], "left_semi").distinct()
+    return rows.join(known, ["kind", "value"], "left_anti").select("kind", "asked")
+
+
+def cited_by(store: DataFrame, papers: DataFrame) -> DataFrame:
+    """Records that one of the papers (slug) cites."""
+    edges = store.select("work_id", F.explode("cited_by.slug").alias("slug")).join(papers.select("slug").distinct(), "slug", "left_semi")
+    return store.join(edges.select("work_id").distinct(), "work_id", "left_semi")
+
+
+def cited_from_store(store: DataFrame, slug: str, most: int = 40) -> DataFrame:
+    """(work_id, tag, cited): what a paper cites, most cited first."""
+    spark = store.sparkSession
+    mine = cited_by(store, spark.createDataFrame([(slug,)], "slug string"))
+    return mine.orderBy(F.col("citation_count").desc_nulls_last(), "tag", "work_id").limit(most).select("work_id", "tag", F.col("citation_count").cast("long").alias("cited"))
+
+
+def known_citers(probe: DataFrame, key: str, store: DataFrame) -> DataFrame:
+    """(key, citers, first): for probes that the store knows, how many papers cite the work and the first ``SHOWN`` of them."""
+    matched = priority_match(probe, key, store).select(key, "work_id")
+    edges = store.select("work_id", F.explode("cited_by.slug").alias("slug")).filter("coalesce(slug, '') <> ''").distinct()
+    rows = matched.join(edges, "work_id").select(key, "slug").distinct()
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("slug"))
+    first = rows.withColumn("rn", rank).filter(F.col("rn") <= SHOWN).groupBy(key).agg(F.array_join(F.sort_array(F.collect_list("slug")), ",").alias("first"))
+    return rows.groupBy(key).agg(F.count("*").alias("citers")).join(first, key)
+
+
+def publication_keys(records: DataFrame) -> DataFrame:
+    """(control_number, key): a journal key for every way in which a record says where it appeared."""
+    rows = records.select("control_number", F.explode("metadata.publication_info").alias("p"))
+    page = F.coalesce(F.nullif("p.page_start", F.lit("")), "p.artid")
+    parts = [F.regexp_replace(F.lower("p.journal_title"), "[^0-9a-z]+", ""), F.col("p.journal_volume"), page]
+    full = [F.coalesce(x, F.lit("")) != "" for x in (F.col("p.journal_title"), F.col("p.journal_volume"), page)]
+    return rows.filter(full[0] & full[1] & full[2]).select("control_number", F.concat_ws(",", *parts).alias("key")).distinct()
+
+
+def reference_cascade(entries: DataFrame, key: str, store: DataFrame) -> DataFrame:
+    """(key, work_id, match): what a line of a bibliography is, by its strongest handle.
+
+    Tried in order: doi, arxiv, journal, volume_page, title.  A handle of volume and page alone counts
+    only if it names one record of the store; of the others the smallest id wins.  ``entries`` has the
+    columns doi, arxiv_id, journal_key and title.
+    """
+    def handles(rows: DataFrame, name: str) -> DataFrame:
+        place = F.lower(F.regexp_replace(F.coalesce("journal_key", F.lit("")), "[^0-9a-zA-Z,]+", ""))
+        whole = F.when(place.rlike("^[^,]+,[^,]+,[^,]+$"), place)
+        doi, arxiv = T.normalize_doi("doi"), T.normalize_arxiv("arxiv_id")
+        values = [F.when(doi.rlike("^10[.][0-9]+/.+"), doi), F.when(T.looks_like_arxiv(arxiv), arxiv), whole, T.volume_page(whole), F.nullif(T.normalize_title("title"), F.lit(""))]
+        kinds = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(k).alias("match"), v.alias("handle")) for i, (k, v) in enumerate(zip(CASCADE, values))])
+        return rows.select(F.col(name), F.explode(kinds).alias("h")).select(name, "h.*").filter("handle is not null")
+
+    index = handles(store, "work_id").groupBy("rank", "handle").agg(F.min("work_id").alias("work_id"), F.max("work_id").alias("other"))
+    index = index.filter((F.col("rank") != CASCADE.index("volume_page")) | (F.col("work_id") == F.col("other"))).drop("other")
+    hits = handles(entries, key).join(index, ["rank", "handle"])
+    return hits.groupBy(key).agg(F.min_by("work_id", F.struct("rank", "work_id")).alias("work_id"), F.min_by("match", "rank").alias("match"))
+
+
+def merge_store(store: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(works, rewrites): the store with incoming records (key, slug, citing_key, tag and the fields of a work) folded in.
+
+    Incoming records are tied to the store by their strongest shared key, or else to each other, so
+    one work is added once.  The better of the tied records, verified first, then with more fields
+    filled, gives its non-empty fields; tag and held_as never change; citations are added to the ones
+    there.  ``rewrites`` (tag, to) names incoming tags whose work the store calls otherwise.  As a set
+    operation it does not depend on the order of the records; new works are numbered after the
+    largest id, by their strongest key.
+    """
+    tied = priority_match(incoming, "key", store).select("key", "work_id")
+    news = keyed(incoming, "key").groupBy("key").agg(F.min_by("identity", "priority").alias("strongest"))
+    rows = incoming.join(tied, "key", "left").join(news, "key", "left").withColumn("strongest", F.coalesce("strongest", F.concat(F.lit("key:"), F.col("key").cast("string"))))
+    fresh = rows.filter("work_id is null").select("strongest").distinct()
+    largest = store.agg(F.coalesce(F.max("work_id"), F.lit(0)).alias("largest"))
+    bucket = F.pmod(F.xxhash64("strongest"), F.lit(ID_BUCKETS))
+    own = fresh.withColumn("bucket", bucket).withColumn("own", F.row_number().over(Window.partitionBy("bucket").orderBy("strongest")))
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = own.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    ids = own.join(F.broadcast(starts), "bucket").crossJoin(F.broadcast(largest)).select("strongest", (F.col("largest") + F.col("start") + F.col("own")).alias("new_id"))  # ID_BUCKETS rows and one row
+    rows = rows.join(ids, "strongest", "left").withColumn("work_id", F.coalesce("work_id", "new_id"))
+    fields = [c for c in MERGEABLE if c in incoming.columns]
+    filled = sum((F.when(F.coalesce(F.col(c).cast("string"), F.lit("")).isin("", "[]"), 0).otherwise(1) for c in fields), F.lit(0))
+    verified = F.coalesce("verified", F.lit(False))
+    best = rows.groupBy("work_id").agg(F.max_by(F.struct(*fields, "tag", verified.alias("verified"), filled.alias("filled")), F.struct(verified, filled, -F.col("key"))).alias("i"))
+    edges = rows.filter("coalesce(slug, '') <> ''").select("work_id", F.struct("slug", F.col("citing_key").alias("key")).alias("e")).distinct().groupBy("work_id").agg(F.collect_list("e").alias("edges"))
+    both = store.withColumn("stored", F.lit(True)).join(best, "work_id", "full").join(edges, "work_id", "left")
+    had = sum((F.when(F.coalesce(F.col(c).cast("string"), F.lit("")).isin("", "[]"), 0).otherwise(1) for c in fields), F.lit(0))
+    mine = F.coalesce(store["verified"], F.lit(False))
+    better = F.col("stored").isNull() | (F.col("i.verified") & ~mine) | ((F.col("i.verified") == mine) & (F.col("i.filled") > had))
+    kind = dict(store.dtypes)
+
+    def value(c: str) -> Column:
+        if c == "cited_by":
+            none = F.expr(f"cast(array() as {kind['cited_by']})")
+            return F.array_sort(F.array_union(F.coalesce("cited_by", none), F.coalesce(F.col("edges").cast(kind["cited_by"]), none)))
+        if c == "tag":
+            return F.coalesce(store["tag"], F.when(F.col("stored").isNull(), F.col("i.tag")))
+        if c == "verified":
+            return F.when(better & F.col("i").isNotNull(), F.col("i.verified")).otherwise(store["verified"])
+        if c not in fields:
+            return F.col(c)
+        new = F.col(f"i.{c}").cast(kind[c])
+        empty = F.coalesce(new.cast("string"), F.lit("")).isin("", "[]")
+        return F.when(better & ~empty, new).otherwise(store[c])
+
+    works = both.select(*[value(c).alias(c) for c in store.columns])
+    settled = rows.join(store.select("work_id", F.col("tag").alias("to")), "work_id")
+    rewrites = settled.filter("tag is not null and to is not null and tag <> to").groupBy("tag").agg(F.min("to").alias("to"))
+    return works, rewrites
+
+
 def most_cited(store: DataFrame) -> DataFrame:
     """(work_id, position): rank by citations, largest first and unknown last, ties by tag and id.
 

@@ -42,19 +42,13 @@ def priority_match(s, d):
     return W.priority_match(_r(s, d), "control_number", _w(s, d))
 
 
-def reference_cascade(s, d):
-    """Bibliography entries against the store by journal, then title and year."""
-    entries = table(s, d, "bib_entries").withColumns({"doi": F.lit(""), "arxiv_id": F.lit(""), "inspire_id": F.lit(""), "journal_key": F.concat_ws(",", T.journal_parts("journal")["name"], T.journal_parts("journal")["volume"], T.journal_parts("journal")["page"])})
-    return W.priority_match(entries, "entry_id", _w(s, d))
-
-
 def unambiguous_places(s, d):
     rows = _w(s, d).filter("tag is not null").select(F.explode(F.slice(W.identity_keys(), 4, 1)).alias("identity"), "tag").filter("identity is not null")
     return W.unambiguous(rows, "identity", "tag")
 
 
 def shared_identities(s, d):
-    return W.shared_identities(_w(s, d)).select("identity", F.array_join("tags", ",").alias("tags"))
+    return W.shared_identities(_w(s, d)).select("identity", "count", F.array_join("tags", ",").alias("tags"))
 
 
 def record_fields(s, d):
@@ -208,7 +202,7 @@ def marker_reasons(s, d):
     return rows.select("report", F.col("pos").cast(L).alias("pos"), "target", "reason")
 
 
-QUERIES = {f.__name__: f for f in (citation_edges, identity_keys, priority_match, reference_cascade, unambiguous_places, shared_identities, record_fields, held_index, mark_held, record_status, status_counts, fill_empty, canonical_overwrite, upsert_actions, base_tags, lookup, most_cited, citation_texts, work_rows, find_in_raw, normal_identifiers, kind_counts, enrich, record_references, authors_agree, title_hits, rank_resort, overlap_scores, overlap_closest, list_containment, scope_split, unresolved_citations, stale_held, cited_both_ways, marker_reasons)}
+QUERIES = {f.__name__: f for f in (citation_edges, identity_keys, priority_match, unambiguous_places, shared_identities, record_fields, held_index, mark_held, record_status, status_counts, fill_empty, canonical_overwrite, upsert_actions, base_tags, lookup, most_cited, citation_texts, work_rows, find_in_raw, normal_identifiers, kind_counts, enrich, record_references, authors_agree, title_hits, rank_resort, overlap_scores, overlap_closest, list_containment, scope_split, unresolved_citations, stale_held, cited_both_ways, marker_reasons)}
 
 # --- SQL ---------------------------------------------------------------------------------------
 
@@ -253,6 +247,14 @@ def filled(first: str, second: str) -> str:
     return f"WITH {RMATCH}, ch AS (SELECT work_id, min(control_number) AS control_number FROM mt GROUP BY work_id) SELECT w.work_id, {text('title')}, coalesce({first}.year, {second}.year)::BIGINT AS year, {text('journal')}, {text('doi')}, ch.control_number IS NOT NULL AS matched FROM works w LEFT JOIN ch ON ch.work_id = w.work_id LEFT JOIN r s ON s.control_number = ch.control_number"
 
 
+def kind(journal: str, types: str) -> str:
+    """review, article or unknown by document types and venue."""
+    venue = f"replace(replace(lower(coalesce({journal}, '')), ' ', ''), '.', '')"
+    reviews = " OR ".join(f"starts_with({venue}, '{v.lower().replace(' ', '').replace('.', '')}')" for v in W.REVIEW_VENUES)
+    types = f"list_filter(list_transform(coalesce({types}, []), lambda t: lower(trim(t))), lambda t: t <> '')"
+    return f"CASE WHEN list_contains({types}, 'review') OR {reviews} THEN 'review' WHEN {venue} <> '' OR len({types}) > 0 THEN 'article' ELSE 'unknown' END"
+
+
 def known(verified: str) -> str:
     return f"CASE WHEN {verified} THEN 10 ELSE 0 END + " + " + ".join(f"CASE WHEN coalesce({f}::VARCHAR, '') <> '' THEN 1 ELSE 0 END" for f in ("title", "year", "journal", "doi", "arxiv_id"))
 
@@ -262,7 +264,7 @@ SQL = {
     "identity_keys": f"WITH {keys('works', 'work_id', 'wk')} SELECT * FROM wk",
     "priority_match": f"WITH {RMATCH} SELECT * FROM mt",
     "unambiguous_places": f"WITH {keys('works', 'tag', 'wk')} SELECT identity, min(tag) AS tag FROM wk WHERE priority = 3 AND tag IS NOT NULL GROUP BY identity HAVING count(DISTINCT tag) = 1",
-    "shared_identities": f"WITH {keys('works', 'tag', 'wk')} SELECT identity, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags FROM wk WHERE priority < 4 AND tag IS NOT NULL GROUP BY identity HAVING count(DISTINCT tag) > 1",
+    "shared_identities": f"WITH {keys('works', 'tag', 'wk')} SELECT identity, count(DISTINCT tag) AS count, array_to_string(list(DISTINCT tag ORDER BY tag)[1:5], ',') AS tags FROM wk WHERE priority < 4 AND tag IS NOT NULL GROUP BY identity HAVING count(DISTINCT tag) > 1",
     "record_fields": f"WITH {REC} SELECT control_number, title, coalesce(len(authors), 0)::BIGINT AS authors, year::BIGINT AS year, journal, journal_key, doi, arxiv_id, citation_count::BIGINT AS citation_count FROM r",
     "held_index": f"WITH {HELD} SELECT * FROM hi",
     "mark_held": f"WITH {HELD}, {keys('works', 'work_id', 'wk')}, hd AS (SELECT work_id, arg_min(slug, priority) AS held FROM wk JOIN hi USING (identity) WHERE priority < 2 GROUP BY work_id) SELECT w.work_id, held, held IS DISTINCT FROM nullif(held_as, '') AS changed FROM works w LEFT JOIN hd USING (work_id)",
