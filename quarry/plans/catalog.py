@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from quarry.plans import reading, store
+from quarry.plans import reading, store, upkeep
 
 
 def queries():
-    return reading.QUERIES | store.QUERIES
+    return reading.QUERIES | store.QUERIES | upkeep.QUERIES
 
 
 def oracle_sql():
-    return reading.SQL | store.SQL
+    return reading.SQL | store.SQL | upkeep.SQL

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import json
-import os
-import tempfile
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.sources import files
+
 BLOCK = "kind string, anchor string, level int, number string, title string, text string, env string, tex string, numbers array<string>, file string, caption string, language string"
 CHAPTER = "struct<stem:string,number:string,title:string,bytes:int,blocks:int,words:int,anchors:array<string>,subsections:array<string>>"
 FIGURE = "struct<file:string,label:string,number:string,chapter:string,chapter_stem:string,anchor:string,caption:string>"
@@ -28,11 +29,21 @@ def _empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def _texts(spark: SparkSession, pattern: str) -> DataFrame | None:
+    """Whole files of a pattern on any file system; None where there are none."""
+    try:
+        return spark.read.text(pattern, wholetext=True)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def read_manifests(spark: SparkSession, root: str) -> DataFrame:
     """One row for each ``*/paper.json``; a root without papers is an empty table."""
-    if not any(os.path.exists(os.path.join(root, d, "paper.json")) for d in (os.listdir(root) if os.path.isdir(root) else [])):
+    rows = _texts(spark, f"{root}/*/paper.json")
+    if rows is None:
         return _empty(spark, PAPER)
-    rows = spark.read.text(f"{root}/*/paper.json", wholetext=True)
     parsed = rows.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/paper\.json$", 1).alias("dir"), F.from_json("value", PAPER, {"mode": "FAILFAST"}).alias("p"))
     return parsed.select(F.col("dir").alias("slug"), *[f"p.{n}" for n in parsed.schema["p"].dataType.names if n != "slug"])
 
@@ -42,11 +53,12 @@ def read_blocks(spark: SparkSession, root: str) -> DataFrame:
 
     A line that is not JSON fails with its chapter and number; whole files are read so that lines keep their order.
     """
-    if not os.path.isdir(root) or not any(os.path.isdir(os.path.join(root, d, "text")) for d in os.listdir(root)):
+    texts = _texts(spark, f"{root}/*/text/*.jsonl")
+    if texts is None:
         return _empty(spark, "slug string, stem string, idx int, " + BLOCK)
     path = F.col("_metadata.file_path")
-    files = spark.read.text(f"{root}/*/text/*.jsonl", wholetext=True).select(F.regexp_extract(path, r"([^/]+)/text/[^/]+$", 1).alias("slug"), F.regexp_extract(path, r"([^/]+)\.jsonl$", 1).alias("stem"), "value")
-    lines = files.select("slug", "stem", F.posexplode(F.split("value", "\n")).alias("line", "json")).filter("trim(json) <> ''")
+    texts = texts.select(F.regexp_extract(path, r"([^/]+)/text/[^/]+$", 1).alias("slug"), F.regexp_extract(path, r"([^/]+)\.jsonl$", 1).alias("stem"), "value")
+    lines = texts.select("slug", "stem", F.posexplode(F.split("value", "\n")).alias("line", "json")).filter("trim(json) <> ''")
     clean = F.regexp_replace("json", r"[\x00-\x08\x0b-\x1f]", "")
     parsed = lines.select("slug", "stem", "line", F.from_json(clean, BLOCK + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("b"))
     bad = F.raise_error(F.concat(F.lit("not a block: "), "slug", F.lit("/"), "stem", F.lit(" line "), (F.col("line") + 1).cast("string")))
@@ -56,26 +68,62 @@ def read_blocks(spark: SparkSession, root: str) -> DataFrame:
     return checked.withColumn("idx", idx).select("slug", "stem", "idx", "kind", *[f"b.{n}" for n in names])
 
 
+def read_paper(spark: SparkSession, root: str, slug: str) -> DataFrame:
+    """The manifest of one paper; an unknown one is an error."""
+    found = read_manifests(spark, root).filter(F.col("slug") == slug)
+    if found.isEmpty():
+        raise FileNotFoundError(f"no such paper in {root}: {slug}")
+    return found
+
+
+def stored_texts(spark: SparkSession, root: str) -> DataFrame:
+    """(slug, stem, path): the stored chapters in name order, renders left out."""
+    texts = _texts(spark, f"{root}/*/text/*.jsonl")
+    if texts is None:
+        return _empty(spark, "slug string, stem string, path string")
+    path = F.col("_metadata.file_path")
+    return texts.select(F.regexp_extract(path, r"([^/]+)/text/[^/]+$", 1).alias("slug"), F.regexp_extract(path, r"([^/]+)\.jsonl$", 1).alias("stem"), path.alias("path")).orderBy("slug", "stem")
+
+
+def raw_texts(spark: SparkSession, root: str) -> DataFrame:
+    """(path, text, nuls): stored chapters as they are, broken bytes made visible, with the number of NUL signs."""
+    try:
+        rows = spark.read.format("binaryFile").load(f"{root}/*/text/*.jsonl")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return _empty(spark, "path string, text string, nuls long")
+        raise
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    return rows.select("path", text.alias("text")).withColumn("nuls", (F.length("text") - F.length(F.translate("text", "\x00", ""))).cast("long"))
+
+
+def report_sources(spark: SparkSession, root: str) -> DataFrame:
+    """(report, text): every ``*.source.md`` below a folder."""
+    try:
+        rows = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.source.md")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return _empty(spark, "report string, text string")
+        raise
+    return rows.select(F.col("_metadata.file_path").alias("report"), F.col("value").alias("text"))
+
+
 def read_store(spark: SparkSession, root: str) -> DataFrame:
     """The reference store of a collection.
 
-    Spark's file sources pass over names with a leading dot, so the one file is opened by name and its
-    lines are handed on; a missing store is empty, a broken line fails with its number.
+    Spark's file sources pass over names with a leading dot, so a source of its own reads the file in
+    byte ranges; a missing store is empty, a line that is not JSON fails with its number.
     """
-    path = os.path.join(root, STORE)
-    if not os.path.exists(path):
+    path = f"{root}/{STORE}"
+    if not files.exists(path):
         return _empty(spark, WORK)
-    with open(path, encoding="utf-8") as lines:
-        rows = []
-        for number, line in enumerate(lines, 1):
-            if line.strip():
-                try:
-                    rows.append((json.dumps(json.loads(line)),))
-                except ValueError as e:
-                    raise ValueError(f"{STORE} line {number}: {e}") from e
-    if not rows:
-        return _empty(spark, WORK)
-    return spark.createDataFrame(rows, "value string").select(F.from_json("value", WORK).alias("w")).select("w.*")
+    spark.dataSource.register(files.LineSource)
+    rows = spark.read.format("lines").load(path).filter("trim(line) <> ''")
+    parsed = rows.select("at", F.from_json("line", WORK + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("w"))
+    broken = parsed.filter("w._corrupt is not null").agg(F.min("at")).first()[0]
+    if broken is not None:
+        raise ValueError(f"{STORE} line {files.line_at(path, broken)} is not a record")
+    return parsed.select(*[f"w.{n}" for n in parsed.schema["w"].dataType.names if n != "_corrupt"])
 
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
@@ -104,31 +152,53 @@ def block_lines(blocks: DataFrame) -> DataFrame:
 
 
 def write_store(works: DataFrame, root: str) -> int:
-    """Save a store sorted by tag, through a temporary file beside it, so that no reader sees half of it."""
-    rows = works.orderBy("tag").select(F.to_json(F.struct(*sorted(works.columns))).alias("j"))
-    handle, name = tempfile.mkstemp(dir=root, prefix=".store-")
+    """Save a store sorted by tag: executors write the parts, which are joined beside the store and then take its place.
+
+    The one file is what a collection is; its bytes stream past the driver and are never held there.
+    """
+    system, base = files.opened(root)
+    system.create_dir(base, recursive=True)
+    staging = f"{base}/.store-{uuid.uuid4().hex}"
+    address = root.split("://")[0] + "://" + staging if "://" in root and not root.startswith("file://") else staging
+    works.orderBy("tag").select(F.to_json(F.struct(*sorted(works.columns))).alias("j")).write.text(address)
+    parts = sorted(i.path for i in system.get_file_info(files.fs.FileSelector(staging)) if i.base_name.startswith("part-"))
     n = 0
-    with os.fdopen(handle, "w", encoding="utf-8") as out:
-        for row in rows.toLocalIterator():
-            out.write(row["j"] + "\n")
-            n += 1
-    os.replace(name, os.path.join(root, STORE))
+    with system.open_output_stream(f"{staging}.joined") as out:
+        for part in parts:
+            with system.open_input_stream(part) as source:
+                while chunk := source.read(1 << 20):
+                    out.write(chunk)
+                    n += chunk.count(b"\n")
+    system.move(f"{staging}.joined", f"{base}/{STORE}")
+    system.delete_dir(staging)
     return n
 
 
+def write_block_lines(blocks: DataFrame, root: str) -> int:
+    """Store chapters as ``slug/text/stem.jsonl``, changed ones only; how many were written."""
+    rows = block_lines(blocks).select(F.concat("slug", F.lit("/text/"), "stem", F.lit(".jsonl")).alias("name"), F.concat("lines", F.lit("\n")).alias("text"))
+    return files.write_files(rows, root).filter("written").count()
+
+
+def write_manifests(papers: DataFrame, root: str) -> int:
+    """Store manifests as ``slug/paper.json``, changed ones only; how many were written."""
+    names = sorted(papers.columns)
+    rows = papers.select(F.concat("slug", F.lit("/paper.json")).alias("name"), F.to_json(F.struct(*names), {"pretty": "true"}).alias("text"))
+    return files.write_files(rows, root).filter("written").count()
+
+
 def write_pages(pages: DataFrame, root: str, name: str, text: str, suffix: str = ".md") -> dict[str, int]:
-    """Write (name, text) rows as files that changed, and remove files of the suffix that no row names."""
-    kept, written = set(), 0
-    os.makedirs(root, exist_ok=True)
-    for row in pages.select(name, text).toLocalIterator():
-        path = os.path.join(root, row[0].replace("/", "__") + suffix)
-        kept.add(path)
-        old = open(path, encoding="utf-8").read() if os.path.exists(path) else None
-        if old != row[1]:
-            with open(path, "w", encoding="utf-8") as out:
-                out.write(row[1])
-            written += 1
-    stale = [p for f in os.listdir(root) if f.endswith(suffix) and (p := os.path.join(root, f)) not in kept]
-    for path in stale:
-        os.remove(path)
-    return {"written": written, "unchanged": len(kept) - written, "removed": len(stale)}
+    """Write (name, text) rows as files that changed, and remove files of the suffix that no row names.
+
+    Executors write and remove; the driver sees counts and a file listing.
+    """
+    rows = pages.select(F.concat(F.replace(F.col(name), F.lit("/"), F.lit("__")), F.lit(suffix)).alias("name"), F.col(text).alias("text"))
+    counts = {r["written"]: r["n"] for r in files.write_files(rows, root).groupBy("written").agg(F.count("*").alias("n")).collect()}
+    stale = files.listed(pages.sparkSession, root, suffix).join(rows.select("name"), "name", "left_anti")
+    removed = files.remove_files(stale, root).count()
+    return {"written": counts.get(True, 0), "unchanged": counts.get(False, 0), "removed": removed}
+
+
+def report_lines(rows: DataFrame) -> DataFrame:
+    """(line): each row as a JSON object with sorted keys."""
+    return rows.select(F.to_json(F.struct(*sorted(rows.columns))).alias("line"))
