@@ -185,6 +185,17 @@ def capped(rows: DataFrame, partition: list[str], order: list[Column], words: st
     return placed.withColumn("kept", (F.col("rn") <= limit) & ((F.col("rn") == 1) | (F.col("running") <= most)))
 
 
+def paper_caps(rows: DataFrame, words: str, limit: int, most: int) -> DataFrame:
+    """capped() over whole papers (slug, stem, idx): chapters are counted on their own and laid end to end, so no task orders a paper."""
+    totals = rows.groupBy("slug", "stem").agg(F.count("*").alias("n"), F.sum(words).alias("w"))
+    before = Window.partitionBy("slug").orderBy("stem").rowsBetween(*ABOVE)
+    starts = totals.select("slug", "stem", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"), F.coalesce(F.sum("w").over(before), F.lit(0)).alias("w"))
+    running = chapter().rowsBetween(Window.unboundedPreceding, 0)
+    own = rows.withColumn("own", F.row_number().over(chapter())).withColumn("sum", F.sum(words).over(running))
+    placed = own.join(starts, ["slug", "stem"]).withColumn("rn", F.col("n") + F.col("own")).withColumn("running", F.col("w") + F.col("sum")).drop("own", "sum", "n", "w")
+    return placed.withColumn("kept", (F.col("rn") <= limit) & ((F.col("rn") == 1) | (F.col("running") <= most)))
+
+
 def paragraph_anchors(blocks: DataFrame, least: int = 80) -> DataFrame:
     """Add ``address``: a block's own anchor, else ``pN`` for paragraphs of ``least`` characters and ``bN`` for all others.
 

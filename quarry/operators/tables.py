@@ -16,8 +16,11 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored blocks; one delivered twice counts once."""
-    return table(spark, sf_dir, "blocks").dropDuplicates(["slug", "stem", "idx"])
+    """Stored blocks; one delivered twice counts once.
+
+    Rows are laid out by chapter, which serves the removal of repeats and every window over a chapter after it: one exchange.
+    """
+    return table(spark, sf_dir, "blocks").repartition("slug", "stem").dropDuplicates(["slug", "stem", "idx"])
 
 
 def works(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,8 +109,8 @@ def contents(s, d):
 
 
 def word_cap(s, d):
-    rows = _b(s, d).withColumn("words", T.word_count(T.words_of_block()))
-    kept = A.capped(rows, ["slug"], [F.col("stem"), F.col("idx")], "words", 20, 200)
+    rows = _b(s, d).select("slug", "stem", "idx", "anchor", T.word_count(T.words_of_block()).alias("words"))
+    kept = A.paper_caps(rows, "words", 20, 200)
     kept = kept.withColumn("loc", T.location())
     return kept.groupBy("slug").agg(F.count_if("kept").alias("blocks"), F.sum(F.when(F.col("kept"), F.col("words"))).alias("words"), F.min_by("loc", F.when(~F.col("kept"), F.col("rn"))).alias("resume"))
 

@@ -289,7 +289,20 @@ REPORTS = f"""{B}, {HELD_NAMES}, {S.EDGES}, pt AS (SELECT e.slug, min(w.tag) AS
  tg AS (SELECT tag, bool_or(coalesce(verified, false)) AS sure FROM works WHERE coalesce(tag, '') <> '' GROUP BY tag), hp AS (SELECT slug FROM p), hc AS (SELECT DISTINCT slug FROM b WHERE stem = '01_introduction'), ha AS (SELECT DISTINCT slug FROM b WHERE stem = '01_introduction' AND anchor = 'sec-introduction'),
  k AS (SELECT dr.*, dr.slug IN (SELECT slug FROM hp) AS hp, dr.slug IN (SELECT slug FROM hc) AS hc, dr.slug IN (SELECT slug FROM ha) AS ha, dr.tag IN (SELECT tag FROM works WHERE tag IS NOT NULL) AS ht, tg.sure, tg.tag IS NOT NULL AS named,
   coalesce('slug:' || hn.slug, 'tag:' || dr.tag) AS work FROM dr LEFT JOIN tg ON tg.tag = dr.tag LEFT JOIN hn ON hn.tag = dr.tag)"""
+INNER = r"regexp_extract(x, '^\[(?:cite|ref): *([^\]]*)\]$', 1)"
+TAGS = f"list_filter(list_transform(string_split({INNER}, ','), lambda k: {squeeze('k')}), lambda k: k <> '')"
+LABEL = f"lm[{squeeze(INNER)}]"
+LINK = f"""CASE WHEN starts_with(x, '[cite:') THEN CASE WHEN len({TAGS}) > 0 AND len(list_filter({TAGS}, lambda k: cm[k] IS NULL)) = 0 THEN '(' || array_to_string(list_transform({TAGS}, lambda k: '[' || cm[k] || '](../../references/' || k || '.md)'), '; ') || ')' ELSE x END
+ WHEN lm IS NULL OR {LABEL} IS NULL THEN x ELSE '[' || coalesce({LABEL}.number, '') || '](' || CASE WHEN coalesce({LABEL}.file, '') = stem THEN '' ELSE coalesce({LABEL}.file, '') || '.md' END || CASE WHEN coalesce({LABEL}.anchor, '') <> '' THEN '#' || {LABEL}.anchor ELSE '' END || ')' END"""
+CITED_NAMES = f"cn AS (SELECT map_from_entries(list((tag, name))) AS cm FROM (SELECT tag, min({R.citation()}) AS name FROM works WHERE coalesce(tag, '') <> '' GROUP BY tag))"
+NAMED = r"regexp_split_to_array(x, ' *, *')"
+
 SQL = {
+    "linked_texts": rf"""WITH {B}, {P}, {CITED_NAMES}, lb AS (SELECT slug, labels AS lm FROM p), z AS (SELECT b.slug, stem, idx, cm, lm, regexp_split_to_array(coalesce(text, ''), '\[(?:cite|ref): *[^\]]*\]') AS t, regexp_extract_all(coalesce(text, ''), '(\[(?:cite|ref): *[^\]]*\])', 1) AS ms FROM b CROSS JOIN cn LEFT JOIN lb ON lb.slug = b.slug),
+ y AS (SELECT *, list_transform(ms, lambda x: {LINK}) AS r FROM z WHERE len(ms) > 0) SELECT slug, stem, idx::BIGINT AS idx, array_to_string(list_transform(range(1, len(t) + 1), lambda i: t[i] || coalesce(r[i], '')), '') AS linked FROM y""",
+    "substitute_citations": rf"""WITH {B}, {CITED_NAMES}, z AS (SELECT slug, stem, idx, cm, regexp_split_to_array(coalesce(text, ''), '\[cite: *[^\]]*\]') AS t, {MARKS} AS ms FROM b, cn WHERE len({MARKS}) > 0),
+ y AS (SELECT *, list_transform(ms, lambda x: CASE WHEN len(list_filter({NAMED}, lambda k: cm[k] IS NULL)) = 0 THEN '(' || array_to_string(list_transform({NAMED}, lambda k: cm[k]), '; ') || ')' ELSE '[cite: ' || x || ']' END) AS r FROM z)
+ SELECT slug, stem, idx::BIGINT AS idx, array_to_string(list_transform(range(1, len(t) + 1), lambda i: t[i] || coalesce(r[i], '')), '') AS rendered FROM y""",
     "known_papers": f"WITH {S.EDGES}, {P} SELECT slug, slug IN (SELECT slug FROM p) AS held FROM (SELECT slug FROM e UNION SELECT slug FROM p WHERE slug <> '')",
     "warning_codes": f"WITH {P}, u AS (SELECT slug, unnest(warnings) AS w FROM p) SELECT slug, {WARN} AS code, count(*) AS warnings FROM u WHERE NOT contains(lower(w), 'placeholder residue') GROUP BY ALL",
     "ingest_report": f"WITH {S.EDGES}, {P}, n AS (SELECT slug, count(*) AS n FROM e GROUP BY slug) SELECT p.slug, coalesce(len(chapters), 0)::BIGINT AS chapters, coalesce(len(figures), 0)::BIGINT AS figures, coalesce(len(list_filter(figures, lambda f: coalesce(f.file, '') = '')), 0)::BIGINT AS figures_without_file, coalesce(len(authors), 0)::BIGINT AS authors, coalesce(len(warnings), 0)::BIGINT AS warnings, coalesce(len(unresolved_refs), 0)::BIGINT AS unresolved_refs, coalesce(n.n, 0) AS \"references\" FROM p LEFT JOIN n ON n.slug = p.slug",
