@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 
-LEVELS = range(1, 7)
+#: Levels of headings that are told apart; deeper ones count as the last of them.
+LEVELS = range(1, 11)
 SHOWN = 5
 SCOPE = re.compile(r"^(?P<slug>[^/#\s.]+(?:\.[^/#\s.]+)*)(?:/(?P<stem>[^/#\s.]+(?:\.[^/#\s.]+)*))?(?:#(?P<start>[^#\s.]+(?:\.[^#\s.]+)*))?(?:\.\.(?:#?(?P<end>[^#\s]+)))?$")
 
@@ -35,6 +36,10 @@ def parse_scope(token: str) -> Scope:
     return Scope(found["slug"], found["stem"] or "", found["start"] or "", found["end"] or "")
 
 
+def depth() -> Column:
+    return F.least(F.coalesce("level", F.lit(0)), F.lit(LEVELS[-1]))
+
+
 def chapter() -> Window:
     return Window.partitionBy("slug", "stem").orderBy("idx")
 
@@ -49,7 +54,7 @@ def spans(blocks: DataFrame) -> DataFrame:
     One pass over each chapter: for every level the next heading below is looked up, so a long
     chapter is never joined with itself.  A missing level counts as 0.
     """
-    level, heading = F.coalesce("level", F.lit(0)), F.col("kind") == "heading"
+    level, heading = depth(), F.col("kind") == "heading"
     below = chapter().rowsBetween(*BELOW)
     nexts = [F.when(level >= k, F.first(F.when(heading & (level == k), F.col("idx")), ignorenulls=True).over(below)) for k in (0, *LEVELS)]
     last = F.max("idx").over(Window.partitionBy("slug", "stem")) + 1
@@ -140,7 +145,7 @@ def _anchor() -> Column:
 
 def parent() -> Column:
     """Anchor of the nearest heading above that has one; above a heading, the nearest of strictly lower level."""
-    above, level = chapter().rowsBetween(*ABOVE), F.coalesce("level", F.lit(0))
+    above, level = chapter().rowsBetween(*ABOVE), depth()
     heading = F.col("kind") == "heading"
     mine = F.when(heading, level).otherwise(F.lit(99))
     known = [F.when(mine > k, F.last(F.when(heading & (level == k) & _anchor().isNotNull(), F.struct("idx", "anchor")), ignorenulls=True).over(above)) for k in (0, *LEVELS)]
@@ -160,21 +165,23 @@ def context(blocks: DataFrame, hit: Column, width: int = 1) -> DataFrame:
     return blocks.withColumn("near", near).filter("near = 1").drop("near")
 
 
-def contents(blocks: DataFrame, depth: int = 2) -> DataFrame:
+def contents(blocks: DataFrame, deepest: int = 2) -> DataFrame:
     """Headings with rank, words of their section and whether a deeper heading follows.
 
-    The rank counts the levels that the chapter uses, so chapters may skip levels.
+    The rank counts the levels that the chapter uses, so chapters may skip levels.  A section's words
+    are the difference of running sums at its heading and at the one that ends it, which is looked up
+    in the same pass over the chapter.
     """
-    counted = spans(blocks.withColumn("words", T.word_count(T.words_of_block())))
-    before = F.coalesce(F.sum("words").over(chapter().rowsBetween(*ABOVE)), F.lit(0))
-    counted = counted.withColumn("before", before)
-    whole = counted.groupBy("slug", "stem").agg(F.sum("words").alias("whole"))
-    ends = counted.select("slug", "stem", F.col("idx").cast("long").alias("span_end"), F.col("before").alias("until"))
-    heads = counted.filter("kind = 'heading'").withColumn("rank", F.dense_rank().over(Window.partitionBy("slug", "stem").orderBy(F.coalesce("level", F.lit(0)))).cast("long"))
-    deeper = F.max("rank").over(Window.partitionBy("slug", "stem")) > depth
-    heads = heads.withColumn("deeper", deeper).filter(F.col("rank") <= depth)
-    heads = heads.join(ends, ["slug", "stem", "span_end"], "left").join(whole, ["slug", "stem"])
-    return heads.select("slug", "stem", F.col("idx").cast("long").alias("idx"), "anchor", "title", "rank", (F.coalesce("until", "whole") - F.col("before")).alias("section_words"), "deeper")
+    level, heading = depth(), F.col("kind") == "heading"
+    counted = blocks.select("slug", "stem", "idx", "kind", "level", "anchor", "title", T.word_count(T.words_of_block()).alias("words"))
+    counted = counted.withColumn("before", F.coalesce(F.sum("words").over(chapter().rowsBetween(*ABOVE)), F.lit(0)))
+    below = chapter().rowsBetween(*BELOW)
+    nexts = [F.when(level >= k, F.first(F.when(heading & (level == k), F.struct("idx", "before")), ignorenulls=True).over(below)) for k in (0, *LEVELS)]
+    own = Window.partitionBy("slug", "stem")
+    heads = counted.withColumn("until", F.coalesce(F.least(*nexts)["before"], F.sum("words").over(own))).filter(heading)
+    heads = heads.withColumn("rank", F.dense_rank().over(own.orderBy(F.coalesce("level", F.lit(0)))).cast("long"))
+    heads = heads.withColumn("deeper", F.max("rank").over(own) > deepest).filter(F.col("rank") <= deepest)
+    return heads.select("slug", "stem", F.col("idx").cast("long").alias("idx"), "anchor", "title", "rank", (F.col("until") - F.col("before")).alias("section_words"), "deeper")
 
 
 def capped(rows: DataFrame, partition: list[str], order: list[Column], words: str, limit: int, most: int) -> DataFrame:
