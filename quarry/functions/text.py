@@ -153,6 +153,18 @@ def word_matches(a: Column, b: Column) -> Column:
     return (a == b) | ((F.least(F.length(a), F.length(b)) >= MIN_PREFIX) & (F.startswith(a, b) | F.startswith(b, a)))
 
 
+def held_terms(text: str | Column, terms: list[str]) -> Column:
+    """The given words that a text holds, as word_matches() has it.
+
+    The text's words are bound once for each row; written out they would be parted anew for every word asked.
+    """
+    if not terms:
+        return F.expr("cast(array() as array<string>)")
+    near = strings(sorted({t[:MIN_PREFIX] for t in terms}))
+    words = F.filter(F.split(normalize_title(text), " "), lambda w: F.array_contains(near, F.substring(w, 1, MIN_PREFIX)))
+    return F.get(F.transform(F.array(words), lambda ws: F.filter(strings(terms), lambda t: F.exists(ws, lambda w: word_matches(w, t)))), F.lit(0))
+
+
 def segments(text: str | Column) -> Column:
     """Runs of words that no punctuation divides; a hyphen within a word does not."""
     bare = F.regexp_replace(F.regexp_replace(F.coalesce(c(text), F.lit("")), r"\\[a-zA-Z]+", " "), r"([0-9A-Za-z])[-‐‑](?=[0-9A-Za-z])", "$1 ")

@@ -91,9 +91,7 @@ def prefix_matches(terms: DataFrame, words: DataFrame) -> DataFrame:
 def _topic_hits(documents: DataFrame, topic: str) -> tuple[list[str], DataFrame]:
     """Topic terms and (key, got): which of them each document (key, words) holds; within the row, without a join."""
     terms = T.topic_list(topic)
-    words = F.split(T.normalize_title("words"), " ")
-    got = F.filter(T.strings(terms), lambda t: F.exists(words, lambda w: T.word_matches(w, t))) if terms else F.expr("cast(array() as array<string>)")
-    return terms, documents.select("key", got.alias("got"))
+    return terms, documents.select("key", T.held_terms("words", terms).alias("got"))
 
 
 def term_weights(documents: DataFrame, topic: str) -> DataFrame:
@@ -129,8 +127,8 @@ def ladder(documents: DataFrame, topic: str) -> DataFrame:
     (any term); a document of an earlier rung does not come again, so one pass tells its rung.
     """
     terms = T.topic_list(topic)
-    words = F.split(T.normalize_title("words"), " ")
-    held = F.size(F.filter(T.strings(terms), lambda t: F.array_contains(words, t)))
+    words = F.array(F.split(T.normalize_title("words"), " "))
+    held = F.get(F.transform(words, lambda ws: F.size(F.filter(T.strings(terms), lambda t: F.array_contains(ws, t)))), F.lit(0))
     phrase = F.contains(T.normalize_title("title"), F.lit(" ".join(topic.lower().split()[:PHRASE_WORDS])))
     rung = F.when(held == len(terms), "strict").when(phrase, "phrase").when(held > 0, "broad")
     return documents.select("key", rung.alias("rung")).filter("rung is not null")

@@ -99,9 +99,8 @@ def pivot(texts: DataFrame, topic: list[str]) -> DataFrame:
 
     One pass with a counter for each of the at most ``MAX_TERMS`` topic words.
     """
-    words = T.title_words("text")
-    holds = lambda term: F.exists(words, lambda w: T.word_matches(w, F.lit(term)))
-    counts = texts.agg(*[F.count_if(holds(t)).alias(f"n{i}") for i, t in enumerate(topic)])
+    held = texts.select(T.held_terms("text", topic).alias("held"))
+    counts = held.agg(*[F.count_if(F.array_contains("held", t)).alias(f"n{i}") for i, t in enumerate(topic)])
     rows = counts.select(F.explode(F.array(*[F.struct(F.lit(i).alias("at"), F.lit(t).alias("term"), F.col(f"n{i}").alias("units")) for i, t in enumerate(topic)])).alias("r")).select("r.*")
     return rows.orderBy(F.col("units") == 0, F.when(F.col("units") > 0, F.col("units")), F.when(F.col("units") > 0, F.col("term")), "at").limit(1).select("term", "units")
 
