@@ -204,6 +204,24 @@ def test_large_runs_of_one_key_ask_for_more(spark, monkeypatch):
     assert {(r.left_key - 1000, r.right_key) for r in entity_match.match_records(left, right).collect()} >= {(i, i) for i in range(120)}
 
 
+def test_large_runs_of_one_key_lose_no_pair(spark, monkeypatch):
+    schema = "key long, scope string, title string, authors array<string>, year int, journal string"
+    rng = random.Random(8)
+    surnames = ["Steprestomart", "Steprestomard", "Stepres", "Ste", "Everinsk", "Evreinsk", "Everins", "Eve", "Lindber", "Lundberg", "Lindberg"]
+
+    def record(key):
+        journal = rng.choice([None, "Acta Hadr. 12 (1984) 345", "Acta Hadr. 13 (1984) 1", "Eur. Phys. Notes 7, 99"])
+        return key, f"p{key}", rng.choice(["Introduction to the theory of hadrons", "Introduction"]), [f"{n}, J." for n in rng.sample(surnames, rng.choice([0, 1, 1, 2]))] or None, rng.choice([None, *range(1980, 1992)]), journal
+
+    left, right = (spark.createDataFrame([record(start + i) for i in range(400)], schema) for start in (1000, 5000))
+    monkeypatch.setattr(entity_match, "WINDOW", 1)
+    found = []
+    for pairs in (10**9, 10):
+        monkeypatch.setattr(entity_match, "RUN_PAIRS", pairs)
+        found.append({tuple(r) for r in entity_match.candidates(left, right).collect()})
+    assert found[0] == found[1] and len(found[0]) > 1000
+
+
 def test_records_without_common_ends_have_no_alike_names():
     rng = random.Random(9)
     for _ in range(20_000):
