@@ -5,7 +5,6 @@ from __future__ import annotations
 import html
 import marshal
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from hashlib import blake2b
@@ -87,15 +86,10 @@ SUSPECT = r"[<&\\$*_`~|]|\{\{|\{\||\[\[|\]\(|\[\^|\[http|''|(?m)^[ \t]*(?:[#=>+:
 #: Where a construct can begin within a line, and what begins one at the start of a line.
 SIGN = re.compile(r"[<&\\$\[!{`~*_'\n]")
 LINE = re.compile(r"[ \t]*[#=>|%:;+\-*0-9]|[ ]{0,3}\[")
-#: Nodes of an induced template; twice as many are held before the least supported ones are let go.
-TEMPLATE_NODES = 120
 #: A text is a host's own, not its pages', if it stands on this share of at least so many pages.
 CONSTANT_SHARE = 0.8
 LEAST_PAGES = 5
-#: Texts counted for each host while pages stream by, and hosts held in one task, before the least are let go.
-SEEN_TEXTS = 4_096
-HELD_HOSTS = 1_000
-#: Bytes of templates that are broadcast; beyond, pages are joined with them by host and salt.
+#: Bytes of templates, or of constants, that are broadcast; beyond, pages are joined with them by host and salt.
 BROADCAST_BYTES = 64 << 20
 SALTS = 32
 
@@ -109,11 +103,6 @@ class Node:
     children: list["Node"] = field(default_factory=list)
     kind: str = ""
     mark: bytes = b""
-    pages: int = 1
-    same: int = 1
-
-    def size(self) -> int:
-        return 1 + sum(c.size() for c in self.children)
 
 
 def mark_of(text: str) -> bytes:
@@ -309,121 +298,126 @@ def parse(text: str | None) -> tuple[Node, list[str]]:
 
 
 
-def _holds(node: Node, marks) -> bool:
-    return node.mark in marks or any(_holds(c, marks) for c in node.children)
+def _outline(node: Node, constants) -> Node:
+    """The part of a page that is aligned: its paragraphs among ``constants`` and the blocks they stand in."""
+    kept = []
+    for child in node.children:
+        if child.kind == "paragraph" and child.mark in constants:
+            kept.append(Node(child.label, mark=child.mark))
+        elif (inner := _outline(child, constants)).children:
+            kept.append(inner)
+    return Node(node.label, children=kept)
+
+
+def _equal(a: Node, b: Node) -> bool:
+    return a.label == b.label and a.mark == b.mark and len(a.children) == len(b.children) and all(map(_equal, a.children, b.children))
 
 
-def _fold(node: Node, keep=frozenset()) -> Node:
-    """The tree that is aligned: of a run of equal siblings the first, the last and those whose text is in ``keep``."""
-    kept: list[Node] = []
-    last = len(node.children) - 1
-    for i, child in enumerate(node.children):
-        middle = 0 < i < last and child.label == node.children[i - 1].label == node.children[i + 1].label
-        if not middle or (keep and _holds(child, keep)):
-            kept.append(child)
-    folded = Node(node.label, node.text, [_fold(c, keep) if c.children else c for c in kept], node.kind, node.mark, node.pages, node.same)
-    return folded
+def _ends(a: list[Node], b: list[Node]) -> tuple[int, int]:
+    """How many equal nodes two lists begin and end with; the largest mapping may pair them."""
+    most, first, last = min(len(a), len(b)), 0, 0
+    while first < most and _equal(a[first], b[first]):
+        first += 1
+    while last < most - first and _equal(a[-1 - last], b[-1 - last]):
+        last += 1
+    return first, last
 
 
-def _table(a: Node, b: Node) -> list[list[float]]:
-    """Best weights of matching the first children of two nodes in order."""
-    best = [[0.0] * (len(b.children) + 1)]
-    for x in a.children:
-        above, row, left = best[-1], [0.0], 0.0
-        for j, y in enumerate(b.children):
-            left = max(above[j + 1], left)
-            if x.label == y.label:
-                left = max(left, above[j] + weight(x, y))
-            row.append(left)
-        best.append(row)
-    return best
+def _size(node: Node) -> int:
+    return 1 + sum(map(_size, node.children))
 
 
-def weight(a: Node, b: Node) -> float:
-    """Simple tree matching: the weight of the largest mapping of two trees that keeps order and ancestry.
+def _chain(a: list[Node], b: list[Node], known: dict) -> tuple[int, tuple | None]:
+    """Weight of the best matching of two lists in order, and its pairs as a chain from the last: (i, j, those before).
 
-    Equal texts weigh more, so a constant node meets itself among siblings of one label.
+    Only nodes of one label and one text meet; the best chain that ends before a place comes from a tree of prefix maxima.
     """
-    if a.label != b.label:
-        return 0.0
-    own = 1.5 if a.mark and a.mark == b.mark else 1.0
-    return own + _table(a, b)[-1][-1] if a.children and b.children else own
+    places: dict[tuple[str, bytes], list[int]] = {}
+    for j, y in enumerate(b):
+        places.setdefault((y.label, y.mark), []).append(j)
+    best: list[tuple[int, tuple | None]] = [(0, None)] * (len(b) + 1)
+    for i, x in enumerate(a):
+        for j in reversed(places.get((x.label, x.mark), ())):
+            total, chain, k = 0, None, j
+            while k:
+                if best[k][0] > total:
+                    total, chain = best[k]
+                k &= k - 1
+            total, chain, k = total + _match(x, b[j], known)[0], (i, j, chain), j + 1
+            while k <= len(b):
+                if best[k][0] < total:
+                    best[k] = total, chain
+                k += k & -k
+    return max(best, key=lambda e: e[0])
+
+
+def _match(a: Node, b: Node, known: dict) -> tuple[int, int, int, tuple | None]:
+    """Weight of two nodes that can meet, how many equal children they begin and end with, and the chain between."""
+    if (key := (id(a), id(b))) not in known:
+        first, last = _ends(a.children, b.children)
+        m, n = len(a.children) - last, len(b.children) - last
+        inner, chain = _chain(a.children[first:m], b.children[first:n], known)
+        known[key] = 1 + inner + sum(map(_size, a.children[:first])) + sum(map(_size, a.children[m:])), first, last, chain
+    return known[key]
+
+
+def weight(a: Node, b: Node, known: dict | None = None) -> int:
+    """Simple tree matching: the pairs of the largest mapping of two trees that keeps order and ancestry.
+
+    Only nodes of one label and one text are paired.
+    """
+    return _match(a, b, {} if known is None else known)[0] if a.label == b.label and a.mark == b.mark else 0
 
 
-def _pairs(a: Node, b: Node) -> list[tuple[Node, Node]]:
+def _pairs(a: Node, b: Node, known: dict | None = None) -> list[tuple[Node, Node]]:
     """The pairs of the largest mapping of two trees."""
-    if a.label != b.label:
+    known = {} if known is None else known
+    if not weight(a, b, known):
         return []
     pairs = [(a, b)]
-    if a.children and b.children:
-        best, i, j = _table(a, b), len(a.children), len(b.children)
-        while i and j:
-            if best[i][j] == best[i - 1][j]:
-                i -= 1
-            elif best[i][j] == best[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                pairs += _pairs(a.children[i], b.children[j])
+    _, first, last, chain = _match(a, b, known)
+    for k in (*range(first), *range(-last, 0)):
+        pairs += _pairs(a.children[k], b.children[k], known)
+    while chain:
+        i, j, chain = chain
+        pairs += _pairs(a.children[first + i], b.children[first + j], known)
     return pairs
 
 
-def align(a: Node, b: Node) -> tuple[float, list[tuple[Node, Node]]]:
+def align(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     """Weight and pairs of the largest mapping of two trees."""
-    return weight(a, b), _pairs(a, b)
+    known: dict = {}
+    return weight(a, b, known), _pairs(a, b, known)
 
 
 def merge(template: Node, page: Node) -> Node:
-    """Add a page, or another template of the host, to a template."""
+    """Add the outline of a page, or another template of the host, to a template.
+
+    Every node without a counterpart is added and none is let go, so each page merged stands whole
+    in the template.  What can enter are constants, so its size is that of a page's, not of all.
+    """
     pairs = _pairs(template, page)
     mapped = {id(p): t for t, p in pairs}
     for t, p in pairs:
-        t.pages += p.pages
-        if t.mark == p.mark:
-            t.same += p.same
-        elif p.same < t.same:  # a vote: the text of most pages prevails
-            t.same -= p.same
-        else:
-            t.mark, t.same = p.mark, p.same - t.same + 1
-        at = 0
+        children, at = [], 0
         for child in p.children:
-            if (own := mapped.get(id(child))) is not None:
-                at = next((k for k, c in enumerate(t.children) if c is own), at - 1) + 1
-            else:
-                t.children.insert(at, _bare(child))
+            own = mapped.get(id(child), child)
+            while own is not child and t.children[at] is not own:
+                children.append(t.children[at])
                 at += 1
-    if template.size() > 2 * TEMPLATE_NODES:
-        _prune(template)
+            children.append(own)
+            at += own is not child
+        t.children = children + t.children[at:]
     return template
 
 
-def _bare(node: Node) -> Node:
-    return Node(node.label, "", [_bare(c) for c in node.children], node.kind, node.mark, node.pages, node.same)
-
-
-def _prune(template: Node) -> None:
-    """Let the least supported nodes go, so that a constant of later pages can still enter."""
-    def pages(node: Node) -> Iterator[int]:
-        for c in node.children:
-            yield c.pages
-            yield from pages(c)
-
-    def trim(node: Node, least: int) -> None:
-        node.children = [c for c in node.children if c.pages > least]
-        for c in node.children:
-            trim(c, least)
-
-    trim(template, sorted(pages(template), reverse=True)[TEMPLATE_NODES])
-
-
 def _pack(node: Node) -> tuple:
-    shown = bool(node.text) and node.kind != "dropped"
-    return node.label, node.mark, node.kind, shown, node.pages, node.same, [_pack(c) for c in node.children]
+    return node.label, node.mark, node.kind, bool(node.text) and node.kind != "dropped", [_pack(c) for c in node.children]
 
 
 def _unpack(packed: tuple) -> Node:
-    label, mark, kind, shown, pages, same, children = packed
-    return Node(label, " " if shown else "", [_unpack(c) for c in children], kind, mark, pages, same)
+    label, mark, kind, shown, children = packed
+    return Node(label, " " if shown else "", [_unpack(c) for c in children], kind, mark)
 
 
 def blocks_of(root: Node) -> list[tuple[str, str]]:
@@ -447,106 +441,93 @@ def blocks_of(root: Node) -> list[tuple[str, str]]:
     return out
 
 
-class Wrapper:
-    """The template of one host while its pages stream by."""
-
-    def __init__(self) -> None:
-        self.template: Node | None = None
-        self.seen: Counter[bytes] = Counter()
-
-    def add(self, root: Node) -> None:
-        marks = {n.mark for n in _walk(root) if n.mark}
-        page = _fold(root, {m for m in marks if self.seen[m] > 1})
-        self.template = merge(self.template, page) if self.template else _bare(page)
-        self.seen.update(marks)
-        if len(self.seen) > 2 * SEEN_TEXTS:
-            self.seen = Counter(dict(self.seen.most_common(SEEN_TEXTS)))
-
-
 def _walk(node: Node) -> Iterator[Node]:
     for child in node.children:
         yield child
         yield from _walk(child)
 
 
-def _read(columns: list[str]):
-    """Parse every page once: its markup, blocks and skeleton; between the pages stand the templates of their hosts."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, Wrapper] = {}
-
-        def templates() -> pd.DataFrame:
-            rows = pd.DataFrame({c: [None] * len(held) for c in columns})
-            packed = [marshal.dumps(_pack(w.template)) for w in held.values()]
-            empty = [None] * len(held)
-            return rows.assign(wrapper_host=list(held), kinds=empty, blocks=empty, skeleton=empty, marks=empty, template=packed)
-
-        for batch in batches:
-            kinds, blocks, skeletons, marks = [], [], [], []
-            for host, value in zip(batch["host"], batch["value"]):
-                root, found = parse(value)
-                for node in _walk(root):
-                    node.mark = mark_of(node.text)
-                kinds.append(found)
-                blocks.append([{"kind": k, "text": t} for k, t in blocks_of(root)])
-                skeletons.append(marshal.dumps(_pack(root)))
-                marks.append(list({n.mark for n in _walk(root) if n.mark and n.kind in ("paragraph", "dropped")}))
-                if host is not None:
-                    held.setdefault(host, Wrapper()).add(root)
-            yield batch.assign(wrapper_host=None, kinds=kinds, blocks=blocks, skeleton=skeletons, marks=marks, template=None)
-            if len(held) > HELD_HOSTS:
-                yield templates()
-                held.clear()
-        if held:
-            yield templates()
-
-    return run
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Parse every page once: its markup, blocks, skeleton and the marks of its paragraphs."""
+    for batch in batches:
+        kinds, blocks, skeletons, marks = [], [], [], []
+        for value in batch["value"]:
+            root, found = parse(value)
+            for node in _walk(root):
+                node.mark = mark_of(node.text)
+            kinds.append(found)
+            blocks.append([{"kind": k, "text": t} for k, t in blocks_of(root)])
+            skeletons.append(marshal.dumps(_pack(root)))
+            marks.append(list({n.mark for n in _walk(root) if n.mark and n.kind == "paragraph"}))
+        yield batch.assign(kinds=kinds, blocks=blocks, skeleton=skeletons, marks=marks)
+
+
+def _outlines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        found = [marshal.dumps(_pack(_outline(_unpack(marshal.loads(s)), set(c)))) for s, c in zip(batch["skeleton"], batch["constants"])]
+        yield pd.DataFrame({"host": batch["host"], "template": found})
 
 
 def _combine(pieces: pd.DataFrame) -> pd.DataFrame:
-    template = None
-    for packed in sorted(pieces["template"]):
-        other = _unpack(marshal.loads(packed))
-        template = merge(template, other) if template else other
-    constants = [n.mark for n in _walk(template) if n.mark and n.kind in ("paragraph", "dropped")]
-    return pd.DataFrame({"host": [pieces["wrapper_host"].iloc[0]], "template": [marshal.dumps(_pack(template))], "marks": [sorted(set(constants))]})
+    template, *others = (_unpack(marshal.loads(packed)) for packed in sorted(pieces["template"], key=lambda t: (-len(t), t)))
+    for other in others:
+        template = merge(template, other)
+    return pd.DataFrame({"host": [pieces["host"].iloc[0]], "template": [marshal.dumps(_pack(template))]})
+
+
+def _aligned(template: bytes, outline: Node) -> frozenset[int]:
+    """Which paragraphs of an outline, in order, have a counterpart in the template."""
+    paired = {id(p) for _, p in _pairs(_unpack(marshal.loads(template)), outline)}
+    return frozenset(i for i, n in enumerate(n for n in _walk(outline) if n.mark) if id(n) in paired)
 
 
 def _strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Leave out the blocks of a page that its host's template holds as constants, node by node."""
     for batch in batches:
         left = []
-        for blocks, skeleton, packed, constants in zip(batch["blocks"], batch["skeleton"], batch["template"], batch["constants"]):
+        known: dict[tuple[bytes, bytes], frozenset[int]] = {}
+        for blocks, skeleton, template, constants in zip(batch["blocks"], batch["skeleton"], batch["template"], batch["constants"]):
             constants = set(constants)
             root = _unpack(marshal.loads(skeleton))
-            pairs = _pairs(_unpack(marshal.loads(packed)), _fold(root, constants))
-            gone = {id(p) for t, p in pairs if p.mark and p.mark == t.mark and p.mark in constants and p.kind == "paragraph"}
-            # A folded node with children is a copy; a leaf, which alone holds text, is the page's own node.
+            outline = _outline(root, constants)
+            key = template, marshal.dumps(_pack(outline))
+            if key not in known:
+                known[key] = _aligned(template, outline)
             shown = [n for n in _walk(root) if n.text]
-            left.append([dict(b) for b, n in zip(blocks, shown) if b["kind"] != "paragraph" or id(n) not in gone])
+            at = [i for i, n in enumerate(shown) if n.kind == "paragraph" and n.mark in constants]
+            gone = {at[i] for i in known[key]}
+            left.append([dict(b) for i, b in enumerate(blocks) if b["kind"] != "paragraph" or i not in gone])
         yield batch.drop(columns=["template", "constants"]).assign(blocks=left)
 
 
-def induce(parsed: DataFrame) -> DataFrame:
-    """(host, template, constants) of the hosts that have constants, from the pages that ``_read`` parsed.
+def _beside(pages: DataFrame, walls: DataFrame, *parting: str) -> DataFrame:
+    """Pages with what is known of their hosts: broadcast, or by host and a salt of ``parting`` where it is much."""
+    size = F.sum(sum(F.coalesce(F.length(c) if t == "binary" else F.size(c) * 12, F.lit(0)) for c, t in walls.dtypes if c != "host") + 256)
+    if walls.agg(size).first()[0] <= BROADCAST_BYTES:
+        return pages.join(F.broadcast(walls), "host")
+    # A host may hold a third of all pages: its template is repeated and its pages are parted.
+    salt = F.pmod(F.xxhash64(*parting), F.lit(SALTS))
+    return pages.withColumn("salt", salt).join(walls.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "salt"]).drop("salt")
 
-    Each task leaves one small tree for a host; only the trees meet again.  A text of the tree is
-    constant if it stands on ``CONSTANT_SHARE`` of the host's pages, counted exactly over all of them.
-    """
-    schema = "host string, template binary, marks array<binary>"
-    whole = cut(parsed.filter("template is not null").select("wrapper_host", "template").groupBy("wrapper_host").applyInPandas(_combine, schema))
-    asked = whole.select("host", F.explode("marks").alias("mark"))
-    pages = parsed.filter("template is null and host is not null")
-    asked = F.broadcast(asked) if planned(asked) <= BROADCAST_BYTES else asked
-    counted = pages.select("host", F.explode("marks").alias("mark")).join(asked, ["host", "mark"]).groupBy("host", "mark").agg(F.count("*").alias("n"))
-    total = pages.groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= LEAST_PAGES)
-    sure = counted.join(total, "host").filter(F.col("n") >= CONSTANT_SHARE * F.col("pages")).groupBy("host").agg(F.collect_list("mark").alias("constants"))
-    return cut(whole.select("host", "template").join(sure, "host"))
 
+def induce(parsed: DataFrame) -> DataFrame | None:
+    """(host, constants, template) of the hosts that have constants, from the pages that ``_read`` parsed, or None.
 
-def planned(df: DataFrame) -> int:
-    """Bytes of a table that was cut, counted: rows are short here, so a kilobyte each is a safe bound."""
-    return df.count() << 10
+    A paragraph is constant if it stands on ``CONSTANT_SHARE`` of the host's pages; every paragraph
+    is counted over all of them.  Then only the outlines that constants form are merged, each
+    different one once, in parts and then the parts.
+    """
+    pages = parsed.filter("host is not null")
+    total = pages.groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= LEAST_PAGES)
+    counted = pages.select("host", F.explode("marks").alias("mark")).groupBy("host", "mark").agg(F.count("*").alias("n"))
+    sure = counted.join(total, "host").filter(F.col("n") >= CONSTANT_SHARE * F.col("pages"))
+    sure = cut(sure.groupBy("host").agg(F.collect_list("mark").alias("constants")))
+    if sure.isEmpty():
+        return None
+    outlines = _beside(pages.select("host", "skeleton"), sure, "skeleton").mapInPandas(_outlines, "host string, template binary").distinct()
+    part = F.pmod(F.xxhash64("template"), F.lit(SALTS)).alias("part")
+    parts = outlines.groupBy("host", part).applyInPandas(_combine, "host string, template binary")
+    return cut(parts.groupBy("host").applyInPandas(_combine, "host string, template binary").join(sure, "host"))
 
 
 def clean_markup(values: DataFrame) -> DataFrame:
@@ -559,30 +540,24 @@ def clean_markup(values: DataFrame) -> DataFrame:
     with empty arrays, and values of a null host are cleaned without a template.  Columns named like
     the added ones are replaced.
 
-    Each page is parsed once, in the pass that also induces the templates; pages of a host without
-    constants, most of them, are finished without Python.
+    Each page is parsed once; pages of a host without constants, most of them, are finished then.
     """
-    values = values.drop("kinds", "clean", "blocks", "template", "skeleton", "marks", "wrapper_host", "constants")
+    values = values.drop("kinds", "clean", "blocks", "template", "skeleton", "marks", "constants")
     extra = "array<struct<kind:string,text:string>>"
     plain = F.col("value").isNull() | ~F.col("value").rlike(SUSPECT)
     none = values.filter(plain).withColumn("kinds", F.expr("cast(array() as array<string>)")).withColumn("clean", F.col("value"))
     none = none.withColumn("blocks", F.when(F.trim(F.coalesce("value", F.lit(""))) == "", F.expr(f"cast(array() as {extra})")).otherwise(F.array(F.struct(F.lit("paragraph").alias("kind"), F.col("value").alias("text")))))
     inner = values.schema.simpleString()[len("struct<"):-1]
-    schema = f"{inner},wrapper_host:string,kinds:array<string>,blocks:{extra},skeleton:binary,marks:array<binary>,template:binary"
-    parsed = cut(spread(values.filter(~plain)).mapInPandas(_read(values.columns), schema))
+    schema = f"{inner},kinds:array<string>,blocks:{extra},skeleton:binary,marks:array<binary>"
+    parsed = cut(spread(values.filter(~plain)).mapInPandas(_read, schema))
     walls = induce(parsed)
-    pages = parsed.filter("template is null").drop("template", "wrapper_host", "marks")
+    pages = parsed.drop("marks")
     kept = pages.drop("skeleton")
-    if not walls.isEmpty():
+    if walls is not None:
         kind = f"{inner},kinds:array<string>,blocks:{extra},skeleton:binary"
-        hosts = walls.select("host")
-        if walls.count() * (TEMPLATE_NODES << 8) <= BROADCAST_BYTES:
-            walled = pages.join(F.broadcast(walls), "host")
-        else:  # a host may hold a third of all pages: its template is repeated and its pages are parted
-            salt = F.pmod(F.xxhash64("key", "value"), F.lit(SALTS))
-            walled = pages.withColumn("salt", salt).join(walls.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "salt"]).drop("salt")
+        walled = _beside(pages, walls, "key", "value")
         stripped = walled.select(*pages.columns, "template", "constants").mapInPandas(_strip, kind).drop("skeleton")
-        kept = kept.join(hosts, "host", "left_anti").select(kept.columns).unionByName(stripped)
+        kept = kept.join(walls.select("host"), "host", "left_anti").select(kept.columns).unionByName(stripped)
     lines = F.array_join(F.transform("blocks", lambda b: F.when(b["kind"] == "item", F.concat(F.lit("- "), b["text"])).otherwise(b["text"])), "\n")
     cleaned = kept.withColumn("clean", F.when(F.size("kinds") > 0, lines).otherwise(F.col("value")))
     return none.unionByName(cleaned.select(none.columns))

@@ -357,6 +357,45 @@ def test_templates_join_alike_with_and_without_broadcast(spark, monkeypatch):
     assert {(r.key, r.clean) for r in markup.clean_markup(df).collect()} == small == {(i, f"own {i}") for i in range(60)}
 
 
+def test_a_template_has_room_for_every_constant(spark):
+    nav = [f"<div><p>entry {n}</p></div>" if n % 3 else f"<p>entry {n}</p>" for n in range(400)]
+    rows = [(i, "h", "".join(x for n, x in enumerate(nav) if (n + i) % 10) + f"<p>own {i}</p>" + "<p>note</p>" * (i % 3)) for i in range(20)]
+    many = [(100 + i, f"h{i // 5}", f"<p>foot {i // 5}</p><p>own {i}</p>") for i in range(60)]
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows + many, "key int, host string, value string").repartition(parts)
+        got = {r.key: r.clean.split("\n") for r in markup.clean_markup(df).collect()}
+        assert got == {i: [f"own {i}"] + ["note"] * (i % 3) for i in range(20)} | {100 + i: [f"own {i}"] for i in range(60)}
+
+
+def test_a_mapping_pairs_as_much_as_can_be():
+    rng = random.Random(5)
+
+    def tree(depth):
+        node = markup.Node(rng.choice("ab"), mark=rng.choice([b"", b"x"]))
+        node.children = [tree(depth - 1) for _ in range(rng.randint(0, 4))] if depth else []
+        return node
+
+    def size(node):
+        return 1 + sum(map(size, node.children))
+
+    def most(a, b):  # every cut of both lists, without a shortcut
+        if (a.label, a.mark) != (b.label, b.mark):
+            return 0
+        best = {}
+        for i in range(len(a.children) + 1):
+            for j in range(len(b.children) + 1):
+                best[i, j] = max(best[i - 1, j], best[i, j - 1], best[i - 1, j - 1] + most(a.children[i - 1], b.children[j - 1])) if i and j else 0
+        return 1 + best[len(a.children), len(b.children)]
+
+    for _ in range(200):
+        a, b = tree(3), tree(3)
+        b.label, b.mark = a.label, a.mark
+        found, pairs = markup.align(a, b)
+        assert found == len(pairs) == most(a, b)
+        whole = markup.merge(markup._unpack(markup._pack(a)), markup._unpack(markup._pack(b)))
+        assert markup.align(whole, a)[0] == size(a) and markup.align(whole, b)[0] == size(b)
+
+
 def test_long_constructs_are_markup_too():
     assert markup.parse("$$" + "x + " * 900 + "y^2$$")[1] == ["latex"] and markup.parse("see [" + "word " * 100 + "](y.md)")[1] == ["markdown"]
     assert markup.parse("a {{note|" + "word " * 100 + "{{inner|x}} end}} b")[1] == ["wiki"]
