@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import Counter, defaultdict
+from itertools import pairwise
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,59 +13,89 @@ from quarry.runtime import cut
 
 #: Hash buckets of the seeded order over all patterns; the bucket where a quota ends is ordered exactly.
 BUCKETS = 65_536
-#: Membership patterns that the flow plans with, heaviest first; documents of the rest count for one of their sources.
+#: Membership patterns whose plan is broadcast; where there are more, it is joined by shuffle.
 PATTERNS = 4_096
 #: Contents of several sources that are broadcast, some ten MB; where there are more, they are joined by shuffle.
 SHARED = 100_000
 
 
 class Flow:
-    """Min-cost flow by successive shortest paths; arcs carry integer capacities and costs."""
-
-    def __init__(self) -> None:
-        self.arcs: list[list] = []  # [to, capacity left, cost]; the reverse arc is at index ^ 1
-        self.out: dict[object, list[int]] = {}
-
-    def arc(self, a, b, capacity: int, cost: int) -> int:
-        self.out.setdefault(a, []).append(len(self.arcs))
-        self.arcs.append([b, capacity, cost])
-        self.out.setdefault(b, []).append(len(self.arcs))
-        self.arcs.append([a, 0, -cost])
-        return len(self.arcs) - 2
-
-    def run(self, source, sink) -> int:
-        sent = 0
-        while True:
-            best, via, changed = {source: 0}, {}, [source]
-            while changed:
-                later = []
-                for node in changed:
-                    for i in self.out.get(node, ()):
-                        to, left, cost = self.arcs[i]
-                        if left > 0 and best[node] + cost < best.get(to, 1 << 60):
-                            best[to], via[to] = best[node] + cost, i
-                            later.append(to)
-                changed = later
-            if sink not in best:
-                return sent
-            path, node = [], sink
-            while node != source:
-                path.append(via[node])
-                node = self.arcs[via[node] ^ 1][0]
-            amount = min(self.arcs[i][1] for i in path)
-            for i in path:
-                self.arcs[i][1] -= amount
-                self.arcs[i ^ 1][1] += amount
-            sent += amount
+    """Largest flow of supplies to the quotas of sources, kept as what every source holds of each supply.
+
+    A supply serves some of the sources.  It waits at a place of its own until it moves to a source,
+    from which another supply may move on to a further one, and so on up to a source whose quota is
+    open: paths run over the sources alone, however many supplies there are.  What has been placed
+    stays placed, and what found no path never finds one later, so supplies that are added and run
+    in the order of their costs give the flow of least cost.
+    """
+
+    def __init__(self, quotas: list[int]) -> None:
+        self.open = list(quotas)
+        self.serves: list[tuple[int, ...]] = []
+        self.held: dict[tuple[int, int], int] = {}  # (supply, place): amount; the last place is the waiting one
+        #: Supplies at a place that also serve another one; those that have left are dropped when met.
+        self.moves: list[list[list[int]]] = [[[] for _ in quotas] for _ in range(len(quotas) + 1)]
+        self.reached: set[int] = set()
+
+    def add(self, serves: tuple[int, ...], amount: int) -> int:
+        self.serves.append(serves)
+        self._put(len(self.serves) - 1, len(self.open), amount)
+        return len(self.serves) - 1
+
+    def _put(self, supply: int, place: int, amount: int) -> None:
+        if (supply, place) not in self.held:
+            for to in self.serves[supply]:
+                if to != place:
+                    self.moves[place][to].append(supply)
+        self.held[supply, place] = self.held.get((supply, place), 0) + amount
+
+    def _next(self, place: int, to: int) -> int | None:
+        waiting = self.moves[place][to]
+        while waiting and (waiting[-1], place) not in self.held:
+            waiting.pop()
+        return waiting[-1] if waiting else None
+
+    def _path(self) -> list[int]:
+        """The places from the waiting one to the nearest source with an open quota, or none."""
+        start = len(self.open)
+        via, line = {start: start}, [start]
+        for place in line:
+            for to in range(len(self.open)):
+                if to not in via and self._next(place, to) is not None:
+                    via[to] = place
+                    line.append(to)
+                    if self.open[to] > 0:
+                        path = [to]
+                        while path[-1] != start:
+                            path.append(via[path[-1]])
+                        return path[::-1]
+        self.reached = set(via)
+        return []
+
+    def run(self) -> None:
+        while path := self._path():
+            steps = list(pairwise(path))
+            while self.open[path[-1]] > 0:
+                moved = [self._next(*step) for step in steps]
+                if None in moved:
+                    break
+                amount = min(self.open[path[-1]], *(self.held[v, place] for v, (place, _) in zip(moved, steps)))
+                for v, (place, to) in zip(reversed(moved), reversed(steps)):
+                    self.held[v, place] -= amount
+                    if not self.held[v, place]:
+                        del self.held[v, place]
+                    self._put(v, to, amount)
+                self.open[path[-1]] -= amount
 
 
 def plan(patterns: dict[tuple[str, ...], int], targets: dict[str, tuple[float, int]], total: int | None = None) -> dict[tuple[tuple[str, ...], str], list[int]]:
-    """Tokens that each source takes of each membership pattern: {(pattern, source): by repetition}.
+    """Tokens that each source takes of each membership pattern, where it takes any: {(pattern, source): by repetition}.
 
     ``patterns`` maps the sources a document belongs to to the tokens of such documents.  The r-th
     use of a document costs r, so repetition is convex and spread evenly.  Without ``total`` the
     largest size is found at which every source that has documents reaches its share within its
-    repetitions (sources without documents are left out and the others keep their proportions).
+    repetitions (sources without documents are left out and the others keep their proportions): some
+    sources that miss their quotas hold all that may serve them, which bounds the size anew.
     """
     reach = {s for p, n in patterns.items() if n > 0 for s in p}
     live = {s: t for s, t in targets.items() if s in reach and t[0] > 0 and t[1] > 0}
@@ -69,30 +103,47 @@ def plan(patterns: dict[tuple[str, ...], int], targets: dict[str, tuple[float, i
         return {}
     whole = sum(share for share, _ in live.values())
 
-    def solve(size: int):
-        flow, uses = Flow(), {}
-        wanted = {s: int(size * share / whole) for s, (share, _) in live.items()}
-        for source, quota in wanted.items():
-            flow.arc(("s", source), "out", quota, 0)
-        for pattern, tokens in patterns.items():
-            most = max((live[s][1] for s in pattern if s in live), default=0)
-            for r in range(most):
-                flow.arc("in", ("p", pattern, r), tokens, 0)
-                for s in pattern:
-                    if s in live and r < live[s][1]:
-                        uses[pattern, s, r] = flow.arc(("p", pattern, r), ("s", s), tokens, r + 1)
-        return flow.run("in", "out") >= sum(wanted.values()), flow, uses
+    names = sorted(live)
+    at_hand = [(p, n, [(i, live[s][1]) for i, s in enumerate(names) if s in p]) for p, n in sorted(patterns.items()) if n > 0]
+    passes = max(most for _, most in live.values())
+
+    def quotas(size: int) -> list[int]:
+        return [int(size * live[s][0] / whole) for s in names]
+
+    def serving(uses: list[tuple[int, int]], r: int) -> tuple[int, ...]:
+        return tuple(i for i, most in uses if r < most)
 
     if total is None:
-        low, high = 0, sum(n * max((live[s][1] for s in p if s in live), default=0) for p, n in patterns.items())
-        while high - low > max(1, high // 1_000_000):
-            middle = (low + high + 1) // 2
-            low, high = (middle, high) if solve(middle)[0] else (low, middle - 1)
-        total = low
-    _, flow, uses = solve(total)
+        supplies: Counter[tuple[int, ...]] = Counter()
+        for _, n, uses in at_hand:
+            ends = sorted({0, *(most for _, most in uses)})
+            for r, end in pairwise(ends):
+                supplies[serving(uses, r)] += n * (end - r)
+        total = sum(supplies.values())
+        while total > 0:
+            flow = Flow(quotas(total))
+            for serves, n in supplies.items():
+                flow.add(serves, n)
+            flow.run()
+            if not any(flow.open):
+                break
+            short = [i for i in range(len(names)) if i not in flow.reached]
+            has = sum(q - left for i, (q, left) in enumerate(zip(quotas(total), flow.open)) if i not in flow.reached)
+            total = bisect_right(range(total), has, key=lambda size: sum(quotas(size)[i] for i in short)) - 1
+    flow, meant = Flow(quotas(total)), []
+    for r in range(passes):
+        for k, (_, n, uses) in enumerate(at_hand):
+            if serves := serving(uses, r):
+                flow.add(serves, n)
+                meant.append((k, r))
+        flow.run()
+        if not any(flow.open):
+            break
     out: dict[tuple[tuple[str, ...], str], list[int]] = {}
-    for (pattern, source, _), i in uses.items():
-        out.setdefault((pattern, source), []).append(flow.arcs[i ^ 1][1])
+    for (supply, place), amount in sorted(flow.held.items()):
+        if place < len(names):
+            k, r = meant[supply]
+            out.setdefault((at_hand[k][0], names[place]), [0] * live[names[place]][1])[r] = amount
     return out
 
 
@@ -118,17 +169,6 @@ def membership(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return sizes.withColumn("pattern", F.array_sort(F.array_distinct(F.filter("sources", lambda s: s.isin(names)))))
 
 
-def _bounded(coded: DataFrame, seed: int) -> DataFrame:
-    """Patterns beyond the ``PATTERNS`` heaviest become one of their sources, chosen by the document's hash."""
-    named = coded.groupBy("name").agg(F.sum("tokens").alias("n"))
-    if named.count() <= PATTERNS:
-        return coded
-    heavy = F.broadcast(named.orderBy(F.desc("n"), "name").limit(PATTERNS).select("name", F.lit(True).alias("heavy")))
-    one = F.array(F.element_at("pattern", (F.pmod(F.xxhash64("key", F.lit(seed + 1)), F.size("pattern")) + 1).cast("int")))
-    pattern = F.when(F.col("heavy"), F.col("pattern")).otherwise(one)
-    return cut(coded.join(heavy, "name", "left").withColumn("pattern", pattern).drop("heavy").withColumn("name", F.concat_ws("\x1f", "pattern")))
-
-
 def mix(sizes: DataFrame, targets: DataFrame, seed: int = 0, total: int | None = None) -> DataFrame:
     """(key, source, tokens, uses): how often each chosen document is used for which source.
 
@@ -145,8 +185,8 @@ def mix(sizes: DataFrame, targets: DataFrame, seed: int = 0, total: int | None =
     spark = sizes.sparkSession
     coded = membership(sizes, targets).select("key", F.coalesce("tokens", F.lit(0)).alias("tokens"), "pattern")
     coded = coded.filter("size(pattern) > 0 and tokens > 0").withColumn("name", F.concat_ws("\x1f", "pattern"))
-    coded = _bounded(cut(coded), seed)
-    # At most PATTERNS patterns and one more for each source.
+    coded = cut(coded)
+    # One row for each pattern that occurs; all of them are planned with.
     weights = {tuple(r["pattern"]): int(r["n"]) for r in coded.groupBy("pattern").agg(F.sum("tokens").alias("n")).collect()}
     goal = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in targets.filter("source is not null and target_share is not null and max_repeats is not null").collect()}
     flows = plan(weights, goal, total)
@@ -154,8 +194,10 @@ def mix(sizes: DataFrame, targets: DataFrame, seed: int = 0, total: int | None =
     coded = coded.withColumn("mixed", F.xxhash64("key", F.lit(seed))).withColumn("bucket", F.pmod("mixed", F.lit(buckets)))
     # The r-th pass over a pattern is a line from 0 to its tokens; sources take stretches of it in turn.
     stretches = []
-    for pattern in weights:
-        mine = {s: amounts for (p, s), amounts in flows.items() if p == pattern}
+    takers: dict[tuple[str, ...], dict[str, list[int]]] = defaultdict(dict)
+    for (pattern, source), amounts in flows.items():
+        takers[pattern][source] = amounts
+    for pattern, mine in takers.items():
         for r in range(max(map(len, mine.values()), default=0)):
             at = 0
             for source in sorted(mine):
@@ -168,9 +210,10 @@ def mix(sizes: DataFrame, targets: DataFrame, seed: int = 0, total: int | None =
     before = Window.partitionBy("name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = coded.groupBy("name", "bucket").agg(F.sum("tokens").alias("n")).select("name", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     within = Window.partitionBy("name", "bucket").orderBy("mixed", "key").rowsBetween(Window.unboundedPreceding, -1)
-    placed = coded.join(F.broadcast(starts), ["name", "bucket"]).withColumn("at", F.col("start") + F.coalesce(F.sum("tokens").over(within), F.lit(0)))
+    few = F.broadcast if len(weights) <= PATTERNS else lambda df: df
+    placed = coded.join(few(starts), ["name", "bucket"]).withColumn("at", F.col("start") + F.coalesce(F.sum("tokens").over(within), F.lit(0)))
     middle = F.col("at") + F.col("tokens") / 2
-    used = placed.join(F.broadcast(parts), "name").filter((middle > F.col("low")) & (middle <= F.col("high")))
+    used = placed.join(few(parts), "name").filter((middle > F.col("low")) & (middle <= F.col("high")))
     return used.groupBy("key", "source", "tokens").agg(F.count("*").alias("uses"))
 
 

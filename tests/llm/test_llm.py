@@ -532,6 +532,56 @@ def test_patterns_are_bounded(spark, monkeypatch):
         assert abs(r.reached_share - 0.2) < 0.02
 
 
+def test_all_patterns_are_planned_with(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(i, rng.sample("abcdefgh", rng.randint(1, 6)), rng.randint(1, 40)) for i in range(2000)]
+    rows += [(5000 + i, ["h", "z"], 10) for i in range(30)]
+    sizes = spark.createDataFrame(rows, "key long, sources array<string>, tokens long")
+    targets = spark.createDataFrame([(s, 0.1, 1 + n % 3) for n, s in enumerate("abcdefghz")], "source string, target_share double, max_repeats int")
+    found = []
+    for patterns in (100_000, 3):
+        monkeypatch.setattr(mixing, "PATTERNS", patterns)
+        found.append({tuple(r) for r in mixing.mix(sizes, targets).collect()})
+    assert found[0] == found[1]
+    taken = Counter()
+    for _, source, tokens, uses in found[0]:
+        taken[source] += tokens * uses
+    assert taken["z"] == 30 * 10 * 3 and all(abs(n - taken["z"]) <= 40 for n in taken.values()) and len(taken) == 9
+
+
+def test_the_flow_is_the_largest_of_least_cost():
+    rng = random.Random(3)
+    for _ in range(120):
+        names = "abcde"[:rng.randint(1, 5)]
+        patterns = {tuple(sorted(rng.sample(names, rng.randint(1, len(names))))): rng.randint(1, 200) for _ in range(9)}
+        goal = {s: (rng.choice([0.1, 0.2, 0.4]), rng.randint(1, 4)) for s in names}
+        live = {s: t for s, t in goal.items() if any(s in p for p in patterns)}
+        whole = sum(share for share, _ in live.values())
+        some = [c for n in range(1, len(live) + 1) for c in itertools.combinations(live, n)]
+
+        def supply(chosen, passes):
+            return sum(n * min(passes, max((live[s][1] for s in p if s in chosen), default=0)) for p, n in patterns.items())
+
+        def quotas(size):
+            return {s: int(size * live[s][0] / whole) for s in live}
+
+        largest, above = 0, supply(tuple(live), 9)
+        while largest < above:
+            middle = (largest + above + 1) // 2
+            fits = all(sum(quotas(middle)[s] for s in c) <= supply(c, 9) for c in some)
+            largest, above = (middle, above) if fits else (largest, middle - 1)
+        for total in (None, int(largest * 0.6), int(largest * 1.5)):
+            flows = mixing.plan(patterns, goal, total)
+            quota = quotas(largest if total is None else total)
+            for (p, s), amounts in flows.items():
+                assert s in p and len(amounts) == live[s][1]
+            for p, n in patterns.items():
+                assert all(sum(a[r] for (q, _), a in flows.items() if q == p and r < len(a)) <= n for r in range(4))
+            for passes in range(1, 5):  # what a cut of the sources lets through, for as many passes as cost so much at most
+                most = min(sum(quota[s] for s in live if s not in c) + supply(c, passes) for c in [(), *some])
+                assert sum(sum(a[:passes]) for a in flows.values()) == most
+
+
 # --- 10. sentences
 
 
