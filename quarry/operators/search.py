@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import difflib
+import math
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +20,10 @@ MIN_COVERAGE = 0.34
 SENTENCE = 300
 PHRASE_WORDS = 6
 EXACT_TITLE, APPROXIMATE_TITLE = 0.95, 0.6
+#: Titles meet on runs of so many signs, counted in so many slots; numbers of blanks, digits and letters; room for rounding.
+GRAM, SLOTS, SLACK = 5, 131071, 1e-6
+SIGNS = np.zeros(256, dtype=np.int64)
+SIGNS[[ord(x) for x in "0123456789abcdefghijklmnopqrstuvwxyz"]] = np.arange(1, 37)
 
 
 def flat(blocks: DataFrame) -> DataFrame:
@@ -146,31 +153,110 @@ def sequence_ratio(a: Column, b: Column) -> Column:
     return pandas_udf(ratio, "double")(a, b)
 
 
-def _title_keys(title: Column) -> Column:
-    """Keys that almost equal titles share: runs of three telling words and the ends of the title."""
-    words = F.filter(F.split(title, " "), lambda w: F.length(w) > 3)
-    words = F.when(F.size(words) >= 3, words).otherwise(F.split(title, " "))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))), lambda i: F.concat(F.lit("r"), F.array_join(F.slice(words, i, 3), " ")))
-    first, last = F.element_at(words, 1), F.element_at(words, -1)
-    ends = F.array(F.concat(F.lit("e"), first, F.lit(" "), last), F.concat(F.lit("f"), F.substring(title, 1, 12)), F.concat(F.lit("l"), F.substring(title, -12, 12)))
-    return F.array_distinct(F.concat(runs, ends))
+def _letter_bits(t: Column) -> list[Column]:
+    """How often a normal title holds each sign, as runs of bits: differing bits are a lower bound of differing signs."""
+    def run(sign: str, most: int) -> Column:
+        held = F.least(F.length(t) - F.length(F.replace(t, F.lit(sign), F.lit(""))), F.lit(most))
+        return F.call_function("shiftleft", F.lit(1).cast("long"), held) - 1
+
+    groups = (("etaoinsr", 8), ("lcdumhpg", 8), ("fbvywkjqxz0123456789 ", 3))
+    return [reduce(lambda a, x: a.bitwiseOR(x), [F.shiftleft(run(sign, most), most * i) for i, sign in enumerate(signs)]) for signs, most in groups]
+
+
+def _grams(titles: pd.Series, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, position and number of every run of ``q`` signs in normal titles."""
+    signs = np.frombuffer("".join(titles).encode("ascii"), dtype=np.uint8)
+    codes = SIGNS[signs]
+    lengths = titles.str.len().to_numpy(dtype=np.int64)
+    rows = np.repeat(np.arange(len(lengths)), lengths)
+    at = np.arange(len(signs)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    kept = np.flatnonzero(at <= lengths[rows] - q)
+    return rows[kept], at[kept], sum((codes[kept + i] * 37 ** (q - 1 - i) for i in range(q)), np.zeros(len(kept), dtype=np.int64))
+
+
+def _gram_counts(titles: DataFrame, q: int) -> np.ndarray:
+    """How common runs of ``q`` signs are, in ``SLOTS`` slots: all that comes to the driver."""
+
+    def count(batches):
+        total = np.zeros(SLOTS, dtype=np.int64)
+        for batch in batches:
+            total += np.bincount(_grams(batch["t"], q)[2] % SLOTS, minlength=SLOTS)
+        slots = np.flatnonzero(total)
+        yield pd.DataFrame({"slot": slots, "n": total[slots]})
+
+    counts = np.zeros(SLOTS, dtype=np.int64)
+    found = titles.select("t").mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    counts[found["slot"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.int64)
+    return counts
+
+
+def _rare_grams(titles: DataFrame, q: int, lost: float, counts: np.ndarray) -> DataFrame:
+    """(g, p, l, s0, s1, s2): for each title its rarest runs of ``q`` signs, one more than edits can break."""
+
+    def rare(batches):
+        for batch in batches:
+            rows, at, grams = _grams(batch["t"], q)
+            order = np.lexsort((at, grams, counts[grams % SLOTS], rows))
+            rows, at, grams = rows[order], at[order], grams[order]
+            rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            kept = rank <= np.floor(q * lost * batch["l"].to_numpy()[rows] + SLACK)
+            yield batch.iloc[rows[kept]].drop(columns="t").assign(g=grams[kept], p=at[kept])[["g", "p", "l", "s0", "s1", "s2"]]
+
+    return titles.mapInPandas(rare, "g int, p int, l int, s0 long, s1 long, s2 long")
+
+
+def _close_titles(asked: DataFrame, held: DataFrame, least: float) -> DataFrame:
+    """(t, u): every asked title ``t`` and held title ``u`` that differ and may be alike by ``least``, and a few others.
+
+    Of a ratio of ``least`` at most a share of 1 - ``least`` of both titles' signs is left out or put in.
+    Each such edit breaks at most ``q`` runs of ``q`` signs, so two titles share a run among their rarest,
+    one more than the edits can break, at places that the edits can shift to each other.  Which runs are
+    rarest only decides how many pairs meet.  Places are told in quarters of a class of lengths.
+    A title goes by its bits meanwhile; all titles of the same bits come back for them.
+    """
+    gone = 1 - least
+    lost, most = 2 * gone / (1 + gone), 2 * gone / (1 - gone)
+    shortest = math.ceil(1 / most - SLACK)
+    q = max((n for n in range(1, GRAM + 1) if shortest * (1 - n * lost) >= n), default=0)
+    edits = F.floor((F.col("l") + F.col("m")) * gone + SLACK).cast("int")
+    if not q:
+        return asked.crossJoin(held.withColumnRenamed("t", "u")).filter("t <> u")
+
+    def marked(titles):
+        bits = [x.alias(f"s{i}") for i, x in enumerate(_letter_bits(F.col("t")))]
+        return titles.filter(F.length("t") >= shortest).select("t", F.length("t").alias("l"), *bits)
+
+    asked, held = marked(asked), marked(held)
+    counts = _gram_counts(asked.select("t").unionAll(held.select("t")), q)
+    size = lambda l: F.floor(F.log(l) / math.log(1.25)).cast("int")
+    part = lambda p: F.floor(p / (F.pow(F.lit(1.25), F.col("c")) / 4)).cast("int")
+    far = F.floor(F.col("l") * most + SLACK).cast("int")
+    left = _rare_grams(asked, q, lost, counts).withColumn("c", F.explode(F.sequence(size(F.col("l") - far), size(F.col("l") + far))))
+    left = left.withColumn("a", F.explode(F.sequence(part(F.col("p") - far), part(F.col("p") + far))))
+    right = _rare_grams(held, q, lost, counts).withColumn("c", size(F.col("l"))).withColumn("a", part(F.col("p")))
+    right = right.select("g", "c", "a", F.col("p").alias("o"), F.col("l").alias("m"), *[F.col(f"s{i}").alias(f"r{i}") for i in range(3)])
+    shifted = F.abs(F.col("p") - F.col("o")) + F.abs(F.col("l") - F.col("p") - F.col("m") + F.col("o"))
+    differing = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"r{i}"))) for i in range(3)), F.lit(0))
+    met = left.join(right, ["g", "c", "a"]).filter((shifted <= edits) & (differing <= edits)).select(*[f"{x}{i}" for x in "sr" for i in range(3)]).distinct()
+    pairs = met.join(asked, ["s0", "s1", "s2"]).join(held.select(F.col("t").alias("u"), F.col("l").alias("m"), *[F.col(f"s{i}").alias(f"r{i}") for i in range(3)]), ["r0", "r1", "r2"])
+    return pairs.withColumn("edits", edits).filter("levenshtein(t, u, edits) >= 0").select("t", "u")
 
 
 def title_hits(wanted: DataFrame, works: DataFrame, least: float = EXACT_TITLE) -> DataFrame:
     """(key, work_id, score): stored works whose title is almost the wanted one's (key, title).
 
-    Distinct titles meet on any run of three telling words, on their two outer words or on either end;
-    lengths that rule the score out are left out before it is taken.  The best score wins, ties the
-    smaller id.  Titles that differ in every third word and at both ends do not meet.
+    Every pair of titles with a score of ``least`` is found, as if all were compared.  The best score
+    wins, ties the smaller id; an equal title scores 1, so nothing else is asked about it.
     """
     left = wanted.select("key", T.normalize_title("title").alias("t")).filter("t <> ''")
     right = works.select("work_id", T.normalize_title("title").alias("u")).filter("u <> ''").groupBy("u").agg(F.min("work_id").alias("work_id"))
-    fits = 2 * F.least(F.length("t"), F.length("u")) >= least * (F.length("t") + F.length("u"))
-    asked = left.select("t").distinct().select("t", F.explode(_title_keys(F.col("t"))).alias("k"))
-    pairs = asked.join(right.select("u", F.explode(_title_keys(F.col("u"))).alias("k")), "k").filter(fits).select("t", "u").distinct()
+    held = right.select(F.col("u").alias("t"))
+    asked = left.select("t").distinct()
+    equal = right.select(F.col("u").alias("t"), F.struct("work_id", F.lit(1.0).alias("score")).alias("b"))
+    pairs = _close_titles(asked.join(held, "t", "left_anti"), held, least)
     scored = pairs.withColumn("score", sequence_ratio(F.col("t"), F.col("u"))).filter(F.col("score") >= least).join(right, "u")
     best = scored.groupBy("t").agg(F.max_by(F.struct("work_id", "score"), F.struct("score", -F.col("work_id"))).alias("b"))
-    return left.join(best, "t").select("key", "b.work_id", "b.score")
+    return left.join(equal.unionByName(best), "t").select("key", "b.work_id", "b.score")
 
 
 def named_paper(works: DataFrame, title: str = "", author: str = "", year: int | None = None, most: int = 15) -> DataFrame:

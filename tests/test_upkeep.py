@@ -126,6 +126,37 @@ def test_title_hits_find_what_all_pairs_find(spark):
     assert len({r.key for r in got.collect()} & near) >= 0.98 * len(near)
 
 
+def test_title_hits_are_those_of_all_pairs(spark):
+    import difflib
+    rng = random.Random(5)
+    words = "measurement heavy axion decay of in the a to matter dense flux lattice gauge boson mixing neutrino solar halo theory field screening vector kaon 7".split()
+    stored = sorted({" ".join(rng.choices(words, k=rng.randint(1, 14))) for _ in range(200)} | {"measurement axions lattice neutrino screening threshold polarization"})
+
+    def slips(t):
+        for _ in range(rng.randint(1, 7)):
+            i = rng.randrange(len(t))
+            t = rng.choice([t[:i] + t[i + 1:], t[:i] + "x" + t[i:], t[:i] + "y" + t[i + 1:], t[:i] + " " + t[i:]])
+        return " ".join(t.split())
+
+    asked = sorted({slips(t) for t in stored for _ in range(2)} - {""}) + stored[:20] + ["meesurement axions lattice neutrina screening threshold polarizatyon"]
+    true = {}
+    for k, t in enumerate(asked):
+        found = [(difflib.SequenceMatcher(None, t, u).ratio(), -i) for i, u in enumerate(stored)]
+        if max(found)[0] >= 0.95:
+            true[k] = (-max(found)[1], max(found)[0])
+    assert len(asked) - 1 in true and len(true) > 100
+    got = search.title_hits(spark.createDataFrame(list(enumerate(asked)), "key long, title string"), spark.createDataFrame(list(enumerate(stored)), "work_id long, title string"))
+    assert {r.key: (r.work_id, r.score) for r in got.collect()} == true
+
+
+def test_titles_of_one_form_are_not_all_compared(spark):
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    forms = [f"unified description of {word(8)} fields {word(7)} screening and the response function" for _ in range(400)]
+    asked, held = (spark.createDataFrame([(t,) for t in part], "t string") for part in ([t[:30] + "x" + t[31:] for t in forms], forms))
+    assert 400 <= search._close_titles(asked, held, 0.95).count() < 800
+
+
 def test_a_named_paper_is_scored(spark):
     store = works(spark, {"work_id": 1, "title": "Decay of the axion", "authors": ["Smith, J."], "year": 2001}, {"work_id": 2, "title": "Decay of the axion in dense stars", "authors": ["Poe, E."], "year": 1990}, {"work_id": 3, "title": "Other things", "authors": None, "year": None})
     got = {r.work_id: (round(r.score, 2), r.match) for r in search.named_paper(store, "Decay of the axion", "J. Smith", 2002).collect()}
